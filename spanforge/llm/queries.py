@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanforge.llm import bpe, canon, unify
+from spanforge.llm import bpe, canon, cutoff, leaks, unify
 from spanforge.session import table
 
 
@@ -36,6 +36,28 @@ def p8_ids(spark: SparkSession, sf: str) -> DataFrame:
     return documents.select("doc_id", bpe.token_ids(documents, "text").alias("ids"))
 
 
+def p9_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents with at least twelve consecutive words of an item."""
+    rows = leaks.leaks(table(spark, sf, "documents").select("doc_id", "text"), "doc_id", "text", table(spark, sf, "eval_items"), "item_id", "text")
+    return rows.where(F.col("longest_run") >= leaks.RUN).select("doc_id", "item_id")
+
+
+def p9_items(spark: SparkSession, sf: str) -> DataFrame:
+    """The items that leaked, with the number of documents and the best alignment."""
+    rows = leaks.leaks(table(spark, sf, "documents").select("doc_id", "text"), "doc_id", "text", table(spark, sf, "eval_items"), "item_id", "text")
+    return rows.where(F.col("longest_run") >= leaks.RUN).groupBy("item_id").agg(F.count("*").alias("documents"), F.max("score").alias("best_score"))
+
+
+def p10_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents that were cut."""
+    return cutoff.cut_texts(table(spark, sf, "documents").select("doc_id", "text"), "doc_id", "text").distinct()
+
+
+def p10_sources(spark: SparkSession, sf: str) -> DataFrame:
+    """How often each source cuts."""
+    return cutoff.by_source(table(spark, sf, "documents").select("doc_id", "text", "source"), "doc_id", "text", "source")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Name to query over a data directory."""
-    return {f.__name__: f for f in (p2_found, p5_found, p5_misses, p8_ids)}
+    return {f.__name__: f for f in (p2_found, p5_found, p5_misses, p8_ids, p9_found, p9_items, p10_found, p10_sources)}
