@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanforge.llm import bpe, canon, cutoff, leaks, unify
+from spanforge.llm import bpe, canon, cutoff, leaks, pages, unify
 from spanforge.session import table
 
 
@@ -17,6 +17,17 @@ def p2_found(spark: SparkSession, sf: str) -> DataFrame:
     return lines.select(F.col("id").alias("candidate_id"), "line_no").distinct()
 
 
+def p4_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Lines of postings from pages that are not part of the posting."""
+    rows = pages.judged_lines(table(spark, sf, "jobs").select("id", "raw_text", "source_url", "title"))
+    return rows.where("not main").select(F.col("id").alias("job_id"), "line_no")
+
+
+def p4_text(spark: SparkSession, sf: str) -> DataFrame:
+    """The posting alone of each page."""
+    return pages.main_text(table(spark, sf, "jobs").select("id", "raw_text", "source_url", "title"))
+
+
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     """Proposals whose stored id is not the entry that their label means."""
     proposals = table(spark, sf, "proposed_skills").select("proposal_id", "label", "canonical_skill_id")
@@ -60,4 +71,4 @@ def p10_sources(spark: SparkSession, sf: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Name to query over a data directory."""
-    return {f.__name__: f for f in (p2_found, p5_found, p5_misses, p8_ids, p9_found, p9_items, p10_found, p10_sources)}
+    return {f.__name__: f for f in (p2_found, p4_found, p4_text, p5_found, p5_misses, p8_ids, p9_found, p9_items, p10_found, p10_sources)}
