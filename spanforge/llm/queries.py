@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanforge.llm import bpe, canon, cutoff, leaks, pages, unify
+from spanforge.llm import bpe, canon, cutoff, leaks, pages, residue, unify
 from spanforge.session import table
 
 
@@ -17,6 +17,17 @@ def p2_found(spark: SparkSession, sf: str) -> DataFrame:
     return lines.select(F.col("id").alias("candidate_id"), "line_no").distinct()
 
 
+def p3_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Fields of postings with template residue, filler, or an error message in place of content."""
+    rows = residue.unfit_fields(table(spark, sf, "jobs").select("id", "raw_text", "title", "source_url"))
+    return rows.select(F.col("id").alias("job_id"), "field_name")
+
+
+def p3_validation(spark: SparkSession, sf: str) -> DataFrame:
+    """Confusion of weak label and verdict on unseen hosts."""
+    return residue.validation(table(spark, sf, "jobs").select("id", "raw_text", "title", "source_url"))
+
+
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     """Lines of postings from pages that are not part of the posting."""
     rows = pages.judged_lines(table(spark, sf, "jobs").select("id", "raw_text", "source_url", "title"))
@@ -71,4 +82,4 @@ def p10_sources(spark: SparkSession, sf: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Name to query over a data directory."""
-    return {f.__name__: f for f in (p2_found, p4_found, p4_text, p5_found, p5_misses, p8_ids, p9_found, p9_items, p10_found, p10_sources)}
+    return {f.__name__: f for f in (p2_found, p3_found, p3_validation, p4_found, p4_text, p5_found, p5_misses, p8_ids, p9_found, p9_items, p10_found, p10_sources)}
