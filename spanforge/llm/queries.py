@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanforge.llm import bpe, canon, cutoff, leaks, pages, residue, unify
+from spanforge.llm import bpe, canon, cutoff, leaks, neardup, pages, residue, unify
 from spanforge.session import table
 
 
@@ -52,6 +52,12 @@ def p5_misses(spark: SparkSession, sf: str) -> DataFrame:
     return canon.misses(canon.mapped(proposals, "label", table(spark, sf, "taxonomy_entries")), "label")
 
 
+def p6_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Pairs of candidates whose CVs are nearly the same."""
+    rows = neardup.similar_pairs(table(spark, sf, "candidates").select("id", "raw_text"), "id", "raw_text")
+    return rows.select(F.col("id_a").alias("candidate_id_a"), F.col("id_b").alias("candidate_id_b"))
+
+
 def p8_ids(spark: SparkSession, sf: str) -> DataFrame:
     """Every document as ids of the public vocabulary."""
     documents = table(spark, sf, "documents").select("doc_id", "text")
@@ -82,4 +88,4 @@ def p10_sources(spark: SparkSession, sf: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Name to query over a data directory."""
-    return {f.__name__: f for f in (p2_found, p3_found, p3_validation, p4_found, p4_text, p5_found, p5_misses, p8_ids, p9_found, p9_items, p10_found, p10_sources)}
+    return {f.__name__: f for f in (p2_found, p3_found, p3_validation, p4_found, p4_text, p5_found, p5_misses, p6_found, p8_ids, p9_found, p9_items, p10_found, p10_sources)}
