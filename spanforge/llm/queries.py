@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanforge.llm import bpe, canon, cutoff, leaks, neardup, pages, residue, unify
+from spanforge.llm import bpe, canon, cutoff, langid, leaks, neardup, pages, residue, unify
 from spanforge.session import table
 
 
@@ -58,6 +58,18 @@ def p6_found(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select(F.col("id_a").alias("candidate_id_a"), F.col("id_b").alias("candidate_id_b"))
 
 
+def p7_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Languages that a record contains and its label does not name."""
+    rows = langid.undenoted(table(spark, sf, "candidates").select("id", "raw_text", "language"), table(spark, sf, "jobs").select("id", "raw_text", "language"))
+    return rows.select("record_table", F.col("id").alias("record_id"), "lang").distinct()
+
+
+def p7_segments(spark: SparkSession, sf: str) -> DataFrame:
+    """Every segment of the CVs with its language and confidence."""
+    cvs = table(spark, sf, "candidates").select("id", "raw_text", "language")
+    return langid.segments(cvs.dropDuplicates(["id"]), "id", "raw_text", langid.fit(cvs, "id", "raw_text", "language"))
+
+
 def p8_ids(spark: SparkSession, sf: str) -> DataFrame:
     """Every document as ids of the public vocabulary."""
     documents = table(spark, sf, "documents").select("doc_id", "text")
@@ -88,4 +100,4 @@ def p10_sources(spark: SparkSession, sf: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Name to query over a data directory."""
-    return {f.__name__: f for f in (p2_found, p3_found, p3_validation, p4_found, p4_text, p5_found, p5_misses, p6_found, p8_ids, p9_found, p9_items, p10_found, p10_sources)}
+    return {f.__name__: f for f in (p2_found, p3_found, p3_validation, p4_found, p4_text, p5_found, p5_misses, p6_found, p7_found, p7_segments, p8_ids, p9_found, p9_items, p10_found, p10_sources)}
