@@ -34,12 +34,12 @@ NAMES = tuple(LANGUAGES)
 RECORDS = 300  # labelled records of each language that train, those of the smallest id hashes; all records are judged
 MIN_WORDS = 8
 MIN_RECORD_WORDS = 20
-CONFIDENT = 0.6
+CONFIDENT = 0.7
 WINDOW = 48
 FILTERS = {2: 16, 4: 32}  # width: number
 ROUNDS, EPOCHS, RATE = 2, 8, 0.05
 
-SENTENCE = re.compile(r"(?<=[.!?…])\s+|\n+")
+SENTENCE = re.compile(r"(?<=[.!?…])(?<!\s[A-ZÀ-ÞČ]\.)\s+|\n+")
 LETTERS = re.compile(r"[^\W\d_]+")
 NAME = re.compile(r"(?<=\s)[^\w\s]{0,2}[A-ZÀ-ÖØ-ÞĀ-ŽА-ЯЁ][\w'’.&-]*|\S*[\d@]\S*")
 CONTACT = re.compile(r"[|·☎]|[\[(](?:at|dot)[\])]")
