@@ -7,10 +7,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanforge.llm import bpe, canon, cutoff, langid, leaks, neardup, pages, residue, unify
+from spanforge.llm import bpe, canon, cutoff, langid, leaks, neardup, pages, pii, residue, unify
 from spanforge.session import table
 
 
+def p1_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Personal information in CVs."""
+    rows = pii.found_spans(table(spark, sf, "candidates").select("id", "raw_text"), "id", "raw_text")
+    return rows.select(F.col("id").alias("candidate_id"), "pii_type", "span_start", "span_end").distinct()
+
+
+def p1_masked(spark: SparkSession, sf: str) -> DataFrame:
+    """The CVs with placeholders in place of personal information."""
+    cvs = table(spark, sf, "candidates").select("id", "raw_text")
+    return pii.masked(cvs, "id", "raw_text").distinct()
+
+
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:
     """Lines of CVs that differ from their consistent form."""
     lines = unify.consistent_lines(table(spark, sf, "candidates").select("id", "raw_text"), "id", "raw_text")
@@ -100,4 +112,4 @@ def p10_sources(spark: SparkSession, sf: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Name to query over a data directory."""
-    return {f.__name__: f for f in (p2_found, p3_found, p3_validation, p4_found, p4_text, p5_found, p5_misses, p6_found, p7_found, p7_segments, p8_ids, p9_found, p9_items, p10_found, p10_sources)}
+    return {f.__name__: f for f in (p1_found, p1_masked, p2_found, p3_found, p3_validation, p4_found, p4_text, p5_found, p5_misses, p6_found, p7_found, p7_segments, p8_ids, p9_found, p9_items, p10_found, p10_sources)}
