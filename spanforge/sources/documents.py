@@ -10,6 +10,7 @@ from xml.etree import ElementTree
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from spanforge.functions.text import letters_and_digits
 from spanforge.sources.html import html_text
@@ -24,7 +25,7 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
     return files.select("path", "content", F.sha2("content", 256).alias("sha256"), F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)).alias("extension"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def docx_text(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Paragraphs of a DOCX file's bytes, one a line; null for bytes that are no DOCX."""
     w = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"

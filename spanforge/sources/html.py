@@ -8,6 +8,7 @@ import pandas as pd
 import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Entities known by name, elements without content text, and block elements.
 ENTITIES = {
@@ -18,7 +19,7 @@ EMPTY = ("script", "style", "noscript", "template", "svg", "head")
 BLOCKS = "p|div|br|li|ul|ol|tr|td|th|table|h[1-6]|section|article|header|footer|main|aside|nav|blockquote|dt|dd|dl|form|fieldset"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _numeric_entities(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     pattern = regex.compile(r"&#(?:x([0-9a-f]{1,6})|(\d{1,7}));", regex.I)
 
