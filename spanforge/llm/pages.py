@@ -15,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spanforge.session import written
+
 SITE_PAGES = 3  # pages of one site that a subtree has to recur on
 PAGES = 8  # pages of any sites
 CONTRAST = 12  # times more frequent on pages than in bare documents
@@ -34,7 +36,8 @@ def _lines(jobs: DataFrame, key: str, text: str, url: str, title: str) -> DataFr
     plain = F.regexp_replace(F.when(F.length("own") > 2, F.replace(F.lower("line"), F.col("own"), F.lit("§"))).otherwise(F.lower("line")), r"\p{N}+", "#")
     named = F.regexp_replace(F.regexp_replace("line", r"\p{N}+", "#"), r"\p{Lu}[\p{L}\p{M}\p{N}'’#-]*", "X")
     return (
-        jobs.select(F.col(key).alias("key"), F.coalesce(site(F.col(url)), F.lit("")).alias("site"), F.lower(F.trim(F.col(title))).alias("title"), F.posexplode(F.split(F.col(text), "\n", -1)).alias("line_no", "line"))
+        jobs.select(F.col(key).alias("key"), F.coalesce(site(F.col(url)), F.lit("")).alias("site"), F.lower(F.trim(F.col(title))).alias("title"), F.col(text).alias("text"))
+        .select("key", "site", "title", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
         .withColumns({"line": line, "own": own})
         .where(F.col("line") != "")
         .withColumn("is_title", F.coalesce(F.lower("line") == F.col("title"), F.lit(False)))
@@ -53,7 +56,7 @@ def judged_lines(jobs: DataFrame, key: str = "id", text: str = "raw_text", url:
     lines = _lines(jobs, key, text, url, title)
     totals = jobs.agg(F.count_if((site(F.col(url)) != "") & F.col(text).isNotNull()).alias("pages"), F.count_if(F.coalesce(site(F.col(url)), F.lit("")) == "").alias("bare"))
     # one row for each subtree of a site; the counts over everything come from these few
-    by_site = lines.groupBy("site", "plain", "named").agg(F.count("*").alias("n"))
+    by_site = written(lines.groupBy("site", "plain", "named").agg(F.count("*").alias("n")))
     page, bare = F.sum(F.when(F.col("site") != "", F.col("n")).otherwise(0)), F.sum(F.when(F.col("site") == "", F.col("n")).otherwise(0))
     plain = by_site.groupBy("plain").agg(page.alias("a1"), bare.alias("b1"))
     named = by_site.groupBy("named").agg(page.alias("a2"), bare.alias("b2"))
