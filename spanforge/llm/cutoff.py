@@ -16,6 +16,8 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spanforge.session import written
+
 # Tokens are numbers, words, list marks and ends of sentence or line; marks that cutters leave.
 PATTERNS = {
     "tokens": r"\p{N}+(?:[.,:]\p{N}+)*|[\p{L}\p{M}\p{N}]+(?:['’][\p{L}\p{M}]+)*|(?:[.!?…]\s|[.!?…]$|\n)(?:[.!?…\s])*|[,;:–—/|•·]",
@@ -39,25 +41,36 @@ def ends(documents: DataFrame, key: str, text: str) -> DataFrame:
 
     level names what decided: 3 trigram, 2 bigram, 1 trigram with names masked, 0 word, null nothing.
     """
-    view = f"texts_{uuid.uuid4().hex}"
+    spark = documents.sparkSession
+    view, split_view = (f"{x}_{uuid.uuid4().hex}" for x in ("texts", "split"))
     documents.createTempView(view)
-    result = documents.sparkSession.sql(
+    # the tokens are written once, as four parts of the statement below read them
+    split_texts = written(spark.sql(
         f"""
         with texts as (
-          select `{key}` as id, replace(`{text}`, char(13), '') as t from {view} where trim(`{text}`) <> ''
-        ), tokens as (
-          select id, t, regexp_replace(rtrim(t), :mark, '') as body from texts
-        ), split_ as (
-          select id, t, body, rtrim(t) <> body as marked,
-            concat(array('¶', '¶'), transform(regexp_extract_all(body, :tokens, 0),
-              x -> case when x rlike :number then '#' when x rlike :ended then '¶' when x rlike :listed then ',' else x end)) as w
-          from tokens
+          select `{key}` as id, rtrim(replace(`{text}`, char(13), '')) as t from {view} where trim(`{text}`) <> ''
+        ), bodies as (
+          select id, t, case when substr(t, -40) rlike :mark then regexp_replace(t, :mark, '') else t end as body from texts
+        )
+        select id, t <> body as marked, body rlike :link as linked, body rlike :open as open_end, regexp_substr(body, '[^\\\\n]*$') rlike :names as named,
+          concat(array('¶', '¶'), transform(regexp_extract_all(body, :tokens, 0), x -> case when lower(left(x, 1)) between 'a' and 'z' then x
+            when x rlike :number then '#' when x rlike :ended then '¶' when x rlike :listed then ',' else x end)) as w
+        from bodies
+        """,
+        args=PATTERNS,
+    ))
+    spark.catalog.dropTempView(view)
+    split_texts.createTempView(split_view)
+    result = spark.sql(
+        f"""
+        with split_ as (
+          select * from {split_view}
         ), grams as (
           select id, g.* from split_ lateral view explode(transform(sequence(2, greatest(2, size(w) - 1)), i -> struct(
             lower(get(w, i - 2)) as a, lower(get(w, i - 1)) as b, lower(get(w, i)) as c,
-            case when get(w, i - 2) rlike :name then 'X' else get(w, i - 2) end as ma,
-            case when get(w, i - 1) rlike :name then 'X' else get(w, i - 1) end as mb,
-            case when get(w, i) rlike :name then 'X' else get(w, i) end as mc,
+            case when left(get(w, i - 2), 1) between 'A' and 'Z' or left(get(w, i - 2), 1) > '~' and get(w, i - 2) rlike :name then 'X' else get(w, i - 2) end as ma,
+            case when left(get(w, i - 1), 1) between 'A' and 'Z' or left(get(w, i - 1), 1) > '~' and get(w, i - 1) rlike :name then 'X' else get(w, i - 1) end as mb,
+            case when left(get(w, i), 1) between 'A' and 'Z' or left(get(w, i), 1) > '~' and get(w, i) rlike :name then 'X' else get(w, i) end as mc,
             coalesce(get(w, i + 1) not in ('¶', ','), false) as goes_on))) as g
           where g.c not in ('¶', ',')
         ), counted as (
@@ -71,13 +84,12 @@ def ends(documents: DataFrame, key: str, text: str) -> DataFrame:
           group by l.level, l.k, l.w
         ), asked as (
           select id, marked, lower(element_at(w, -3)) as a, lower(element_at(w, -2)) as b, lower(element_at(w, -1)) as c,
-            case when element_at(w, -3) rlike :name then 'X' else element_at(w, -3) end as ma,
-            case when element_at(w, -2) rlike :name then 'X' else element_at(w, -2) end as mb,
-            case when element_at(w, -1) rlike :name then 'X' else element_at(w, -1) end as mc,
-            element_at(w, -1) = ',' as open_, regexp_substr(body, '[^\\\\n]*$') rlike :names as named
+            case when left(element_at(w, -3), 1) between 'A' and 'Z' or left(element_at(w, -3), 1) > '~' and element_at(w, -3) rlike :name then 'X' else element_at(w, -3) end as ma,
+            case when left(element_at(w, -2), 1) between 'A' and 'Z' or left(element_at(w, -2), 1) > '~' and element_at(w, -2) rlike :name then 'X' else element_at(w, -2) end as mb,
+            case when left(element_at(w, -1), 1) between 'A' and 'Z' or left(element_at(w, -1), 1) > '~' and element_at(w, -1) rlike :name then 'X' else element_at(w, -1) end as mc,
+            element_at(w, -1) = ',' as open_, named
           from split_
-          where size(w) > 2 and not body rlike :link
-            and (element_at(w, -1) <> '¶' or marked) and (marked or body rlike :open)
+          where size(w) > 2 and not linked and (element_at(w, -1) <> '¶' or marked) and (marked or open_end)
         ), wanted as (
           select distinct l.level, l.k, l.w from asked lateral view inline(array(
             named_struct('level', 3, 'k', concat_ws(' ', a, b), 'w', c), named_struct('level', 2, 'k', b, 'w', c),
@@ -114,7 +126,7 @@ def ends(documents: DataFrame, key: str, text: str) -> DataFrame:
         """,
         args=PATTERNS,
     )
-    documents.sparkSession.catalog.dropTempView(view)
+    spark.catalog.dropTempView(split_view)
     return result
 
 
