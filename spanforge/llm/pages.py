@@ -2,12 +2,13 @@
 
 A page is a tree of lines and of the items on a line. Spark hashes every subtree in
 two forms (digits masked; names masked too), counts it per site, over all sites and
-over documents that came without a page, and deletes subtrees that recur across a
-site's or many sites' pages but not in bare documents. Lines of no evidence follow
-their neighbours if those agree.
+over documents that came without a page, and deletes subtrees that recur across many
+sites' pages but not in bare documents, or on a share of a site's different pages.
+Lines of no evidence follow their neighbours if those agree.
 
 Defined results: rows without url or text, and pages with no sign of a posting, give
-no rows; blank lines are never cases; repeated rows count as pages of their own.
+no rows; blank lines are never cases; repeated rows count over all sites as pages of
+their own, but a site's pages that differ in digits only are one.
 """
 
 from __future__ import annotations
@@ -17,7 +18,8 @@ from pyspark.sql import functions as F
 
 from spanforge.session import written
 
-SITE_PAGES = 3  # pages of one site that a subtree has to recur on
+SITE_PAGES = 3  # different pages of one site that a subtree has to recur on, at least
+SITE_SHARE = 0.02  # share of a site's different pages that it has to recur on
 PAGES = 8  # pages of any sites
 CONTRAST = 12  # times more frequent on pages than in bare documents
 POSTING_LINES = 3  # lines known from bare documents that make a posting; the title alone does, too
@@ -30,19 +32,24 @@ def site(url: Column) -> Column:
     return F.coalesce(F.nullif(F.regexp_extract(host, r"([^.]+\.(?:co|com|org|net|ac|gov)\.[^.]+)$", 1), F.lit("")), F.nullif(F.regexp_extract(host, r"([^.]+\.[^.]+)$", 1), F.lit("")), host)
 
 
+def _content(text: str) -> Column:
+    """A hash of a page that its copies share: its text with digits masked."""
+    return F.xxhash64(F.regexp_replace(F.lower(F.col(text)), r"\p{N}+", "#"))
+
+
 def _lines(jobs: DataFrame, key: str, text: str, url: str, title: str) -> DataFrame:
     own = F.regexp_extract("site", r"^([^.]+)", 1)
     line = F.trim(F.regexp_replace("line", r"^[\s\x{FEFF}]+|[\s]+$", ""))
     plain = F.regexp_replace(F.when(F.length("own") > 2, F.replace(F.lower("line"), F.col("own"), F.lit("§"))).otherwise(F.lower("line")), r"\p{N}+", "#")
     named = F.regexp_replace(F.regexp_replace("line", r"\p{N}+", "#"), r"\p{Lu}[\p{L}\p{M}\p{N}'’#-]*", "X")
     return (
-        jobs.select(F.col(key).alias("key"), F.coalesce(site(F.col(url)), F.lit("")).alias("site"), F.lower(F.trim(F.col(title))).alias("title"), F.col(text).alias("text"))
-        .select("key", "site", "title", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
+        jobs.select(F.col(key).alias("key"), F.coalesce(site(F.col(url)), F.lit("")).alias("site"), F.lower(F.trim(F.col(title))).alias("title"), F.col(text).alias("text"), _content(text).alias("content"))
+        .select("key", "site", "title", "content", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
         .withColumns({"line": line, "own": own})
         .where(F.col("line") != "")
         .withColumn("is_title", F.coalesce(F.lower("line") == F.col("title"), F.lit(False)))
         .withColumns({"plain": F.when(F.col("is_title"), F.lit("\x01")).otherwise(plain), "named": F.when(F.col("is_title"), F.lit("\x01")).otherwise(named)})
-        .select("key", "site", "line_no", "is_title", "plain", "named")
+        .select("key", "site", "content", "line_no", "is_title", "plain", "named")
     )
 
 
@@ -56,7 +63,8 @@ def judged_lines(jobs: DataFrame, key: str = "id", text: str = "raw_text", url:
     lines = _lines(jobs, key, text, url, title)
     totals = jobs.agg(F.count_if((site(F.col(url)) != "") & F.col(text).isNotNull()).alias("pages"), F.count_if(F.coalesce(site(F.col(url)), F.lit("")) == "").alias("bare"))
     # one row for each subtree of a site; the counts over everything come from these few
-    by_site = written(lines.groupBy("site", "plain", "named").agg(F.count("*").alias("n")))
+    by_site = written(lines.groupBy("site", "plain", "named", "content").agg(F.count("*").alias("n")).groupBy("site", "plain", "named").agg(F.sum("n").alias("n"), F.count("*").alias("contents")))
+    sizes = jobs.where(F.trim(F.col(text)) != "").select(site(F.col(url)).alias("site"), _content(text).alias("content")).where("site <> ''").distinct().groupBy("site").agg(F.count("*").alias("of_site"))
     page, bare = F.sum(F.when(F.col("site") != "", F.col("n")).otherwise(0)), F.sum(F.when(F.col("site") == "", F.col("n")).otherwise(0))
     plain = by_site.groupBy("plain").agg(page.alias("a1"), bare.alias("b1"))
     named = by_site.groupBy("named").agg(page.alias("a2"), bare.alias("b2"))
@@ -69,13 +77,13 @@ def judged_lines(jobs: DataFrame, key: str = "id", text: str = "raw_text", url:
     )
     words = F.regexp_count(F.col("named"), F.lit(r"\p{Ll}{2}"))
     trees = (
-        by_site.where("site <> ''").join(plain, "plain").join(named, "named").join(menus, "plain", "left").crossJoin(F.broadcast(totals))
+        by_site.where("site <> ''").join(plain, "plain").join(named, "named").join(menus, "plain", "left").join(sizes, "site").crossJoin(F.broadcast(totals))
         .select(
             "site", "plain", "named",
             F.when(F.col("plain") == "\x01", 1.0)
             .when(_recurs(F.col("a1"), F.col("b1"), F.col("pages"), F.col("bare")), -1.0)
             .when(F.col("b1") > 0, 1.0)
-            .when(F.col("n") >= SITE_PAGES, -1.0)
+            .when((F.col("contents") >= SITE_PAGES) & (F.col("contents") >= SITE_SHARE * F.col("of_site")), -1.0)
             .when(F.coalesce("menu", F.lit(0.0)) >= 0.5, -1.0)
             .when((words > 0) & _recurs(F.col("a2"), F.col("b2"), F.col("pages"), F.col("bare")), -1.0)
             .when((words > 0) & (F.col("b2") > 0), 1.0)

@@ -124,6 +124,22 @@ def test_pages(spark):
     assert pages.judged_lines(d.limit(0)).count() == 0
 
 
+def test_pages_chance_repeats_and_copies_are_no_template(spark):
+    text = lambda i, extra: "\n".join(["Tasks", f"You sort parcels by size {i}.", "Offer", *extra])
+    letters = lambda i: "".join("abcdefghij"[int(c)] for c in str(i))
+    data = [(f"b{i}", text(i, []), None, f"Job {i}") for i in range(80)]
+    # a site of 200 pages: a menu on all, French words on twelve, a requirement that three postings happen to share
+    for i in range(200):
+        extra = ["* Lathe keeping is a must"] if i in (20, 90, 150) else []
+        data.append((f"h{i}", "\n".join([f"Job {i}", text(i, extra), f"Offer code {letters(i)}", "Partager la page" if i % 17 == 0 else "Share this page"]), "https://hot.test/x", f"Job {i}"))
+    # a small site that shows one posting four times
+    data += [(f"c{i}", "\n".join(["Job", text(i, ["* Kiln watch by night"]), "Seen 1" + "0" * i]), "https://small.test/x", "Job") for i in range(4)]
+    d = spark.createDataFrame(data, "id string, raw_text string, source_url string, title string")
+    got = {(x.id, x.line_no): x.main for x in pages.judged_lines(d).collect()}
+    assert all(got[f"h{i}", 4] for i in (20, 90, 150)) and all(got[f"c{i}", 4] for i in range(4))
+    assert not any(got[f"h{i}", 6 if i in (20, 90, 150) else 5] for i in range(200))
+
+
 # --- 5 ----------------------------------------------------------------------------------------------------------------
 
 REFERENCE = [("kiln-control", "Kiln firing control", ["furnace curve setting"]), ("korvane", "Korvane", ["kvn"]), ("korvane-reports", "Korvane Reports", []), ("loom", "Loom calibration", [])]
