@@ -33,7 +33,7 @@ SAMPLE = 800  # documents that train, those of the smallest key hashes; all docu
 BITS = 17
 EPOCHS, RATE, L2 = 4, 0.4, 1e-5
 ROUNDS = 4  # of message passing
-COMMON_SHARE = 0.02  # share of sampled documents above which a last word never seen in a name is no surname
+COMMON_SHARE = 0.02  # share of sampled documents above which a last word rarely seen in a name counts as a weak sign of none
 
 LABELS = ("other", "name", "email", "phone", "identity_number", "address")
 KIND_LABELS = {"name": (0, 1), "email": (0, 2), "number": (0, 3, 4), "address": (0, 5)}  # two or three states
@@ -67,9 +67,10 @@ NAME = re.compile(rf"(?<![\w'’.&-])(?:(?:(?:{WORD}|{U}\.)(?: (?:(?:de|da|van|v
 TITLE = re.compile(r"(?:(?:Mr|Ms|Mrs|Miss|Mx|Dr|Prof|Frau|Herr|Mme|Mlle|M|Sr|Sra|Srta|Dott|Sig|Ing|Dipl|Name|Nom|Contact|Curriculum)\.? )+")
 ODD = re.compile(r"[^\x00-\x9f\xa1-\xac\xae-\u024f\u0400-\u045f\u2012-\u2023\u2026\u2116\u2122\u2600-\u26ff]")
 OTHER = re.compile(r"[\u0370-\u04ff]")
-MIXED = re.compile(r"\w*[a-zA-Zà-ÿ]\w*[\u0370-\u04ff]\w*|\w*[\u0370-\u04ff]\w*[a-zA-Zà-ÿ]\w*")
+MIXED = re.compile(r"(?<!\w)(?:\w*[a-zA-Zà-ÿ]\w*[\u0370-\u04ff]\w*|\w*[\u0370-\u04ff]\w*[a-zA-Zà-ÿ]\w*)")
 ALIKE = str.maketrans(CYRILLIC_ALIKE + GREEK_ALIKE, CYRILLIC_LATIN + GREEK_LATIN)
 SIGN = re.compile("@")
+DIGIT = re.compile(r"\d")
 AT = re.compile(r"@|[\[({](?:at|@)[\])}]| at (?=[\w-]+ dot )", re.I)
 STREETS = re.compile(
     rf"\b{STREET_EN}(?!\w)|\b(?:Box|Postfach|Apartado|postale|Postbus) \d|(?:\d| bis| ter| quater),? (?:rue|avenue|boulevard|place|allée|chemin|impasse|quai|cours)\b|\b(?:Calle|Rua|Via|Avenida|Plaza|Praça|Viale|Piazza|Corso|Travessa|Paseo)\b|\bAv\.|C/|"
@@ -126,16 +127,17 @@ class Node:
     __slots__ = ("kind", "start", "end", "text", "line", "features", "tokens", "weak")
 
 
-def nodes(text: str, weak: bool = False, never: frozenset[str] = frozenset()) -> tuple[list[Node], np.ndarray | None]:
-    """The nodes of a text in order, spans in its straight form, and the map to the original.
-
-    weak: with weak labels; never: last words of capitalised phrases that are decided
-    to be no names and need no node.
-    """
+def nodes(text: str, weak: bool = False) -> tuple[list[Node], np.ndarray | None]:
+    """The nodes of a text in order, spans in its straight form, and the map to the original; weak: with weak labels."""
     s, at = straight(text)
     taken: list[tuple[int, int]] = []
     found: list[Node] = []
-    free = lambda a, b: all(b <= x or y <= a for x, y in taken)
+
+    def free(a: int, b: int) -> bool:
+        for x, y in taken:
+            if x < b and a < y:
+                return False
+        return True
 
     def add(kind: str, a: int, b: int) -> None:
         n = Node()
@@ -158,8 +160,10 @@ def nodes(text: str, weak: bool = False, never: frozenset[str] = frozenset()) ->
                         end = b
                     break
     end = line_start = above = 0
+    starts = []
     for line in s.split("\n"):
-        if HOUSE.search(line) or HOUSE_BEHIND.search(line):
+        starts.append(line_start)
+        if DIGIT.search(line) and (HOUSE.search(line) or HOUSE_BEHIND.search(line)):
             for m in STREETS.finditer(line):
                 if line_start + m.start() >= end:
                     # from the line above for a flat or house before the street
@@ -189,15 +193,14 @@ def nodes(text: str, weak: bool = False, never: frozenset[str] = frozenset()) ->
             a += 1
         if (t := TITLE.match(s, a)) and t.end() < b:
             a = t.end()
-        if " " in s[a:b] and s[s.rfind(" ", a, b) + 1 : b].lower() not in never and free(a, b):
+        if " " in s[a:b] and free(a, b):
             if s[a:b].isupper():  # a shouted sentence is no place to tell names by capitals
                 line = s[s.rfind("\n", 0, a) + 1 : s.find("\n", b) if "\n" in s[b:] else len(s)]
                 if line.isupper() and line.count(" ") > 6:
                     continue
             add("name", a, b)
     found.sort(key=lambda n: n.start)
-    starts = [0, *(i + 1 for i, c in enumerate(s) if c == "\n")]
-    lines, k = [], 0
+    k = 0
     for n in found:
         while k + 1 < len(starts) and starts[k + 1] <= n.start:
             k += 1
@@ -221,10 +224,10 @@ def _hash(x: str) -> int:
 _MASK = str.maketrans("0123456789", "9999999999")
 
 
-_forms: dict[tuple[str, str], tuple[list[str], list[int]]] = {}
+_forms: dict[tuple[str, str], tuple[tuple[str, ...], tuple[int, ...]]] = {}
 
 
-def _form(kind: str, text: str) -> tuple[list[str], list[int]]:
+def _form(kind: str, text: str) -> tuple[tuple[str, ...], tuple[int, ...]]:
     """(tokens, features) of a node's own text; remembered."""
     known = _forms.get((kind, text))
     if known is not None:
@@ -246,21 +249,35 @@ def _form(kind: str, text: str) -> tuple[list[str], list[int]]:
         tokens = [text.lower()]
     if len(_forms) > 200_000:
         _forms.clear()
-    known = _forms[kind, text] = tokens, [_hash(x) for x in out]
+    known = _forms[kind, text] = tuple(tokens), tuple([_hash(x) for x in out])
+    return known
+
+
+_arounds: dict[tuple, tuple[int, ...]] = {}
+
+
+def _around(k: str, p1: str | None, p2: str | None, q: str | None, beside: str, line: int) -> tuple[int, ...]:
+    """Features of a node's surroundings; remembered. p1, p2 and q are the words before and after, line is at most 9."""
+    key = k, p1, p2, q, beside, line
+    known = _arounds.get(key)
+    if known is None:
+        p1, p2, q = (x and x.translate(_MASK) for x in (p1, p2, q))
+        out = (
+            k, f"{k}p{p1 or '^'}", f"{k}P^" if p2 is None else f"{k}P{p2} {p1}", f"{k}q$" if q is None else f"{k}q{q}", f"{k}c{beside}",
+            f"{k}l{line == 0}{line < 9}{p1 is None}{q is None}", f"{k}h{line < 9}",
+        )
+        if len(_arounds) > 200_000:
+            _arounds.clear()
+        known = _arounds[key] = tuple([_hash(x) for x in out])
     return known
 
 
 def _describe(n: Node, s: str, line_start: int, line_end: int, weak: bool) -> None:
     before, after = s[max(line_start, n.start - 32) : n.start], s[n.end : min(line_end, n.end + 20)]
-    pre, post = before.translate(_MASK).lower().split(), after.translate(_MASK).lower().split(None, 1)
-    k = "#" if n.kind == "number" else n.kind[0]
-    p1 = pre[-1] if pre else "^"
-    around = (
-        k, f"{k}p{p1}", f"{k}P{pre[-2]} {p1}" if len(pre) > 1 else f"{k}P^", f"{k}q{post[0]}" if post else f"{k}q$", f"{k}c{after[:1]}{before[-1:]}",
-        f"{k}l{n.line == 0}{n.line < 9}{not pre}{not post}", f"{k}h{n.line < 9}",
-    )
+    pre, post = before.lower().rsplit(None, 2), after.lower().split(None, 1)
+    around = _around("#" if n.kind == "number" else n.kind[0], pre[-1] if pre else None, pre[-2] if len(pre) > 1 else None, post[0] if post else None, after[:1] + before[-1:], min(n.line, 9))
     n.tokens, own = _form(n.kind, n.text)
-    n.features = [*map(_hash, around), *own]
+    n.features = around + own
     if weak:
         n.weak = _weak_name(n, before, s[n.end : min(line_end, n.end + 80)]) if n.kind == "name" else _weak_number(n, before) if n.kind == "number" else {"email": 2, "address": 5}[n.kind]
 
@@ -286,7 +303,6 @@ class Model:
         self.weights = np.zeros((1 << BITS, len(LABELS)), dtype=np.float32)
         self.chain: dict[tuple, np.ndarray] = {}
         self.skip: dict[str, np.ndarray] = {}
-        self.never: frozenset[str] = frozenset()
 
 
 def fit(texts: list[str]) -> Model:
@@ -312,7 +328,6 @@ def fit(texts: list[str]) -> Model:
                     n.weak = 0
                 elif n.weak == -1 and (last[n.tokens[-1]] > often and share < 0.05 or phrases[n.text] > often / 4 and share < 0.2):
                     n.weak = 0
-    model.never = frozenset(w for w, v in votes.items() if last[w] > often and not v[True])
     rows = [n for found in docs for n in found if n.weak >= 0]
     seen = np.full((1 << BITS, len(LABELS)), 1e-6)
     w = np.zeros((1 << BITS, len(LABELS)))
@@ -412,7 +427,7 @@ def _log_sum(x: np.ndarray, axis: int) -> np.ndarray:
 
 def spans(model: Model, texts: list[str | None]) -> list[list[tuple[str, int, int, float]]]:
     """(type, start, end, confidence) of each text, in order, in its own code points."""
-    parsed = [nodes(t or "", never=model.never) for t in texts]
+    parsed = [nodes(t or "") for t in texts]
     out = []
     for (found, at), p in zip(parsed, label(model, [f for f, _ in parsed])):
         rows, end = [], -1

@@ -49,6 +49,13 @@ def test_pii_spans_fit_odd_characters(model):
     assert "phone" in {k for k, *_ in pii.spans(model, [t])[0]}
 
 
+def test_pii_surname_that_is_a_frequent_phrase_end(model):
+    name = re.match(r".*", cv(777))[0]
+    t = cv(777).replace(name, "Gretha Works").replace("Reported to ", "Reported to Gretha Works, head of yards.\nReported to ")
+    got = [t[a:b] for k, a, b, _ in pii.spans(model, [t])[0] if k == "name"]
+    assert "Gretha Works" in got and "Acme Works" not in got
+
+
 def test_pii_frames(spark, model):
     d = spark.createDataFrame([(1, cv(1), "x"), (1, cv(1), "x"), (2, None, "x"), (3, "", "x"), (None, "Call a.b@c.example", "x")], "id int, t string, pii_type string")
     got = pii.found_spans(d, "id", "t", model)
