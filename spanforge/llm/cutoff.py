@@ -6,7 +6,8 @@ ones, and flags texts whose ending usually goes on but almost never stops. A las
 word that is the beginning of longer words in the same place counts as going on.
 
 Defined results: null, empty and blank texts are not cut; repeated rows are judged
-alike; a text that ends in closing punctuation or a link is complete.
+alike; a text that ends in a sentence's closing punctuation, a semicolon or a link is complete;
+behind a bracket, quote or other sign the counts decide.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ PATTERNS = {
     "ended": r"^[\s.!?…]",
     "listed": r"^[,;:–—/|•·]",
     "name": r"^\p{Lu}",
-    "open": r"[\p{L}\p{M}\p{N},:–—/|(\[“„&-]$",
+    "open": r"(?:[\p{L}\p{M}\p{N},:–—/|(\[“„&)\]%+”\"»-]|\p{L}['’])$",
     "names": r"^[\s*•·-]*\p{Lu}[\p{L}\p{M}'’.-]*(?: +(?:&|\p{Lu}[\p{L}\p{M}'’.-]*))*$",
 }
 
@@ -37,7 +38,7 @@ STOPS = 0.12  # share of stops below which an ending counts as a cut
 
 
 def ends(documents: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, marked, level, share, cut) of every text that does not end in closing punctuation or a link.
+    """(key, marked, level, share, cut) of every text that does not end in a sentence's closing punctuation, a semicolon or a link.
 
     level names what decided: 3 trigram, 2 bigram, 1 trigram with names masked, 0 word, null nothing.
     """

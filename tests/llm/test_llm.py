@@ -342,3 +342,12 @@ def test_cut_texts(spark):
     share = {x.source: x.cut for x in cutoff.by_source(d, "doc_id", "text", "source").collect()}
     assert share == {"s": 0, "c": len(got)}
     assert cutoff.cut_texts(d.limit(0), "doc_id", "text").count() == 0
+
+
+def test_cut_behind_an_elision_or_a_closing_sign(spark):
+    whole = [f"Nous avons pu traiter les lots d'{x} avec soin. Le stock de 5 % du dépôt (zone {i}) est tenu par nous." for i, x in enumerate(["orge", "avoine", "épices", "huile"] * 10)]
+    whole += [f"Le dépôt est loin (voir le plan {i})" for i in range(10)]
+    cut = ["Le stock est tenu. Nous avons pu traiter les lots d'", "Le stock est tenu. Nous avons pu traiter les lots d’", "Nous avons pu traiter. Le stock de 5 %"]
+    done = ["Le stock est tenu par nous (voir le plan 3)", "Nous avons pu traiter les lots d'orge avec soin."]
+    d = spark.createDataFrame(list(enumerate(whole + cut + done)), "doc_id int, text string")
+    assert {x.doc_id for x in cutoff.cut_texts(d, "doc_id", "text").collect()} == {50, 51, 52}
