@@ -14,20 +14,36 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A fresh folder on the storage all executors share.
+    """A fresh folder on the storage all executors share, deleted when the session's JVM ends.
 
-    The cluster names it in spark.checkpoint.dir. Only where that is unset, as in
-    tests on one machine, a local temporary folder stands in.
+    The cluster names the storage in spark.checkpoint.dir. Where that is unset, a local
+    temporary folder stands in if everything runs on this machine's one JVM; any other
+    master is refused, as its executors would each write to a disk of their own.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError(f"spark.checkpoint.dir has to name shared storage when the master is {master}")
         base = "file://" + tempfile.mkdtemp(prefix="spanforge-")
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+    folder = f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(path)
+    fs.deleteOnExit(path)
+    return folder
 
 
 def written(df: DataFrame) -> DataFrame:
     """df as a table written to the shared folder: computed once, its lineage cut, safe when executors are lost."""
-    path = shared_dir(df.sparkSession)
+    path = f"{shared_dir(df.sparkSession)}/table"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def written_by(df: DataFrame, column: str) -> DataFrame:
+    """df as a table written to the shared folder, partitioned by a column of few values: what is asked of one value reads only its files."""
+    path = f"{shared_dir(df.sparkSession)}/table"
+    df.write.partitionBy(column).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
