@@ -156,11 +156,13 @@ def test_mapping(spark):
     ref = spark.createDataFrame(REFERENCE, "id string, label string, aliases array<string>")
     typed = {
         "KILN FIRING CONTROL": "kiln-control", "kiln firng contrlo": "kiln-control", "control, kiln firing": "kiln-control", "experience with Körvane": "korvane", "KVN": "korvane", "kvm": "unmatched",
-        "korvane reprots v3": "korvane-reports", "kor vane": "korvane", "chess doubling": "unmatched", "": "unmatched", None: "unmatched", "with": "unmatched", "loomcalibration (advanced)": "loom",
+        "korvane reprots v3": "korvane-reports", "kor vane": "korvane", "control firing kiln": "kiln-control", "firnig control kiln": "kiln-control", "chess doubling": "unmatched", "": "unmatched", None: "unmatched", "with": "unmatched", "loomcalibration (advanced)": "loom",
     }
     d = spark.createDataFrame([(i, k, "c") for i, k in enumerate(typed)] + [(99, "kvn", "c")] * 2, "n int, label string, aliases string")
     got = canon.mapped(d, "label", ref)
     assert {r.label: r.mapped_id for r in got.collect()} == typed | {"kvn": "korvane"} and got.count() == len(typed) + 2
+    joined = canon.mapped(d, "label", ref, broadcast_surfaces=2)
+    assert {(r.label, r.mapped_id, r.mapped_distance) for r in joined.collect()} == {(r.label, r.mapped_id, r.mapped_distance) for r in got.collect()} and joined.count() == got.count()
     assert {r.typed for r in canon.misses(got, "label").collect()} >= {"kvm", "chess doubling"}
     assert canon.mapped(d, "label", ref.limit(0)).where("mapped_id <> 'unmatched'").count() == 0
 
@@ -175,10 +177,16 @@ def test_dictionary_reaches_all_within_radius():
             i = random.randrange(1, len(t))
             t[i : i + 1] = random.choice([[], [random.choice("xyz")], [t[i], random.choice("xyz")]])
         t = "".join(t)
-        if canon.distance(t, w, 3) <= canon.radius(len(w)):
+        if canon.near(t, w) <= canon.radius(len(w)):
             assert d.find(t)[0] == w
 
 
+def test_weighted_and_plain_distance_bound_alike():
+    assert canon.distance("aabbccdd", "abcd", 3) <= 3 and canon.edits("aabbccdd", "abcd", 3) == 4
+    assert canon.near("braiilleprooff", "brailleproof") == pytest.approx(1.4) and canon.edits("ab", "ba", 2) == 1
+    assert canon.near("bbrraaiilleproof", "brailleproof") == float("inf")
+
+
 # --- 6 ----------------------------------------------------------------------------------------------------------------
 
 
