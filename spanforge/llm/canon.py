@@ -22,6 +22,7 @@ import re
 import unicodedata
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import combinations
 
 import pandas as pd
@@ -56,13 +57,14 @@ def radius(length: int) -> int:
     return 0 if length < 5 else 1 if length < 6 else 2 if length < 10 else 3
 
 
-def deletes(s: str, most: int) -> set[str]:
+@lru_cache(50_000)
+def deletes(s: str, most: int) -> frozenset[str]:
     """s with up to `most` letters deleted."""
     out = {s}
     for k in range(1, min(most, len(s) - 1) + 1):
         for gone in combinations(range(len(s)), k):
             out.add("".join(c for i, c in enumerate(s) if i not in gone))
-    return out
+    return frozenset(out)
 
 
 def distance(a: str, b: str, most: float) -> float:
