@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanforge.llm.residue import COMMON, ERROR, FILLER, MENTION
+from spanforge.llm.residue import failed, filler_only
 from spanforge.llm.unify import CYRILLIC_ALIKE, CYRILLIC_LATIN, GREEK_ALIKE, GREEK_LATIN
 
 # Languages with the codes and names that denote them.
@@ -31,7 +31,8 @@ LANGUAGES = {
     "nl": "nl dut nld dutch nederlands", "it": "it ita italian italiano", "ru": "ru rus russian русский",
 }
 NAMES = tuple(LANGUAGES)
-RECORDS = 300  # labelled records of each language that train, those of the smallest id hashes; all records are judged
+RECORDS = 400  # labelled records of each language that train, those of the smallest hashes; all records are judged
+TRAIN_WINDOWS = 4_000  # windows of each language that train, drawn from those records
 MIN_WORDS = 8
 MIN_RECORD_WORDS = 20
 CONFIDENT = 0.7
@@ -42,7 +43,8 @@ ROUNDS, EPOCHS, RATE = 2, 8, 0.05
 SENTENCE = re.compile(r"(?<=[.!?…])(?<!\s[A-ZÀ-ÞČ]\.)\s+|\n+")
 LETTERS = re.compile(r"[^\W\d_]+")
 NAME = re.compile(r"(?<=\s)[^\w\s]{0,2}[A-ZÀ-ÖØ-ÞĀ-ŽА-ЯЁ][\w'’.&-]*|\S*[\d@]\S*")
-CONTACT = re.compile(r"[|·☎]|[\[(](?:at|dot)[\])]")
+CONTACT = re.compile(r"[|·☎]")  # separators of a contact line, which is no sentence even if an abbreviation ends it
+SPELLED = re.compile(r"\S*(?:\s?[\[(](?:at|dot)[\])]\s?\S*)+")
 ENDS = (".", "!", "?", "…", "。")
 _ALIKE = str.maketrans(CYRILLIC_ALIKE + GREEK_ALIKE, CYRILLIC_LATIN + GREEK_LATIN)
 _CLASS = np.full(256, 1, dtype=np.int64)  # signs
@@ -77,16 +79,20 @@ def sentences(text: str, all_lines: bool = False) -> list[tuple[int, int, str]]:
     """(start, end, plain text without names and numbers) of the sentences of MIN_WORDS or more words.
 
     A line that does not end like a sentence needs two words more and no sign of a
-    contact line. all_lines: anything with a word counts.
+    contact line; spelled mail addresses in one that does are cut out. all_lines: anything with a
+    word counts.
     """
     out, at = [], 0
     for m in [*SENTENCE.finditer(text), None]:
         end = m.start() if m else len(text)
         part = text[at:end]
-        if len(part) >= 3 * MIN_WORDS or (all_lines and part):
-            words = len(LETTERS.findall(part))
+        if len(part) >= 2 * MIN_WORDS - 1 or (all_lines and part):
             ended = part.rstrip()[-1:] in ENDS
-            if words >= (1 if all_lines else MIN_WORDS - 1 if ended else MIN_WORDS + 2) and (all_lines or not CONTACT.search(part) and (ended or "@" not in part)) and (all_lines or len(part.split()) >= MIN_WORDS):
+            contact = not all_lines and (CONTACT.search(part) or not ended and SPELLED.search(part))
+            if ended and not all_lines:
+                part = SPELLED.sub("", part)
+            words = len(LETTERS.findall(part))
+            if words >= (1 if all_lines else MIN_WORDS - 1 if ended else MIN_WORDS + 2) and (all_lines or not contact and (ended or "@" not in part)) and (all_lines or len(part.split()) >= MIN_WORDS):
                 p = plain(part if part.isupper() else NAME.sub("", part))
                 if all_lines or len(LETTERS.findall(p)) >= MIN_WORDS // 2:
                     out.append((at, end, p))
@@ -204,8 +210,12 @@ def judge(tables: tuple, texts: list[str]) -> np.ndarray:
 
 def fit(records: DataFrame, key: str, text: str, label: str) -> tuple | None:
     """Tables of a network trained on the sentences of a bounded sample of labelled records; None without labels."""
-    rows = records.select(denoted(F.col(label)).alias("lang"), F.xxhash64(key).alias("h"), F.col(text).alias("text")).where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    first = rows.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))).where(F.col("n") <= RECORDS).collect()
+    rows = records.select(denoted(F.col(label)).alias("lang"), F.xxhash64(key, text).alias("h"), F.col(text).alias("text")).where(F.col("lang").isNotNull() & F.col("text").isNotNull())
+    # the hashes first, so that only numbers are ranked and only the sample's texts move
+    ranked = rows.select("lang", "h").withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("n") <= RECORDS)
+    last = {r.lang: r.h for r in ranked.groupBy("lang").agg(F.max("h").alias("h")).collect()}
+    limits = F.create_map(*[F.lit(x) for pair in last.items() for x in pair]) if last else F.create_map().cast("map<string,bigint>")
+    first = rows.where(F.col("h") <= F.try_element_at(limits, F.col("lang"))).distinct().orderBy("lang", "h").collect()
     texts, kinds = [], []
     for r in first:
         for *_, t in sentences(r.text):
@@ -221,7 +231,7 @@ def fit(records: DataFrame, key: str, text: str, label: str) -> tuple | None:
         use = kept[owner]
         share = np.bincount(y[owner][use], minlength=len(NAMES))
         rng = np.random.default_rng(3)
-        use &= rng.random(len(owner)) < np.minimum(1, 2500 / np.maximum(1, share))[y[owner]]
+        use &= rng.random(len(owner)) < np.minimum(1, TRAIN_WINDOWS / np.maximum(1, share))[y[owner]]
         net.train(x[use], y[owner][use], EPOCHS if turn else EPOCHS // 2)
         tables = net.compiled()
         if turn + 1 < ROUNDS:
@@ -268,10 +278,8 @@ def segments(df: DataFrame, key: str, text: str, tables: tuple | None, main_only
 
 
 def no_posting(text: Column) -> Column:
-    """Whether a whole text is an error page, a script notice or filler."""
-    failed = (F.length(text) < 400) & text.rlike(ERROR + r"|forbidden|bad gateway|traceback|keyerror|upstream|^loading|never existed|signed-in account") & ~text.rlike(MENTION)
-    filler = (F.regexp_count(text, F.lit(COMMON)) < 0.05 * F.size(F.split(text, r"\s+"))) | ((F.length(text) < 200) & text.rlike(FILLER))
-    return F.coalesce(failed | filler, F.lit(True))
+    """Whether a whole text is an error page, a script notice or filler, by the shares of such units in it."""
+    return F.coalesce(failed(text) | filler_only(text), F.lit(True))
 
 
 def undenoted(candidates: DataFrame, jobs: DataFrame, key: str = "id", text: str = "raw_text", label: str = "language") -> DataFrame:

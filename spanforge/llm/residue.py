@@ -30,10 +30,11 @@ BITS = 18
 SAMPLE = 5_000  # distinct units of each weak kind and field that train (three times as many of content), those of the smallest hashes and the most frequent content; all units are judged
 FOLDS = 5  # one host in so many is held out
 ERROR_SHARE = 0.5  # of a field's characters that error units make up
-FAILED_SHARE = 0.25  # of a text's characters in units of error phrases, for the rest of the text to be weakly labelled so, too
+FAILED_SHARE = 0.2  # of a text's characters in units of error phrases, for the rest of the text to be weakly labelled so, too
 FILLER_WORDS = 0.05  # share of common words below which a text is no language
 BROADCAST_UNITS = 100_000  # distinct units that are not content up to which they are broadcast; more are joined by shuffle
-L2, EPOCHS, RATE = 1e-5, 8, 0.3
+CONFIDENT = 0.6  # probability below which a unit counts as content
+L2, EPOCHS, RATE = 1e-5, 10, 0.3
 
 # Weak labels, as patterns of Java and Python alike.
 RESIDUE = (
@@ -66,15 +67,17 @@ def _share(text: Column, hit) -> Column:
 
 
 def failed(text: Column) -> Column:
-    """Whether units of error phrases make up so much of a text that the rest of it belongs to them; taken apart only where there is any."""
+    """Whether a text is headed as an error, or units of error phrases make up so much of it that the rest belongs to them; taken apart only where there is any."""
     whole = lambda u: (u.rlike(ERROR) | F.trim(u).rlike(WHOLE)) & ~u.rlike(MENTION)
-    return F.coalesce(F.when(text.rlike(ERROR), _share(text, whole) >= FAILED_SHARE), F.lit(False))
+    headed = text.rlike(WHOLE.replace("^", r"^\s*").replace("$", r"\s*(?:\n|$)"))
+    return F.coalesce(headed, F.lit(False)) | F.coalesce(F.when(text.rlike(ERROR), _share(text, whole) >= FAILED_SHARE), F.lit(False))
 
 
 def filler_only(text: Column) -> Column:
     """Whether a text is no language: hardly a common word, or filler phrases in most of it."""
     words = F.regexp_count(text, F.lit(COMMON)) < FILLER_WORDS * F.size(F.split(text, r"\s+"))
-    return F.coalesce(words | F.when(text.rlike(FILLER), _share(text, lambda u: u.rlike(FILLER)) >= ERROR_SHARE), F.lit(True))
+    phrases = F.when(text.rlike(FILLER), _share(text, lambda u: u.rlike(FILLER)) >= ERROR_SHARE)
+    return F.coalesce(words | F.coalesce(phrases, F.lit(False)), F.lit(True))
 
 
 def _masked(unit: Column) -> Column:
@@ -233,13 +236,14 @@ def fit(distinct: DataFrame, held_out: bool = False) -> np.ndarray:
 
 
 def judged(distinct: DataFrame, weights: np.ndarray) -> DataFrame:
-    """distinct with kind and confidence."""
+    """distinct with kind and the confidence of the likeliest kind."""
     shared = distinct.sparkSession.sparkContext.broadcast(weights.astype(np.float32))
 
     @F.pandas_udf("struct<kind: int, confidence: double>")
     def kind(us: pd.Series, ts: pd.Series) -> pd.DataFrame:
         p = predict(shared.value, list(us), list(ts))
-        return pd.DataFrame({"kind": p.argmax(axis=1).astype(np.int32), "confidence": p.max(axis=1).astype(np.float64)})
+        best = np.where(p.max(axis=1) >= CONFIDENT, p.argmax(axis=1), 0) if len(p) else np.zeros(0)
+        return pd.DataFrame({"kind": best.astype(np.int32), "confidence": p.max(axis=1).astype(np.float64)})
 
     return distinct.withColumn("k", kind("unit", "is_title")).select("*", "k.*").drop("k")
 
