@@ -6,6 +6,11 @@ over documents that came without a page, and deletes subtrees that recur across
 sites' pages but not in bare documents, or on a share of a site's different pages.
 Lines of no evidence follow their neighbours if those agree.
 
+Texts are taken apart once, into a table of 64-bit hashes: two subtrees that share a
+hash would only share their counts. The counts weigh as rates: what stands on PAGES
+pages but in no bare document is only boilerplate where bare documents are many enough
+to have shown it.
+
 Defined results: rows without url or text, and pages with no sign of a posting, give
 no rows; blank lines are never cases; repeated rows count over all sites as pages of
 their own, but a site's pages that differ in digits only are one.
@@ -49,8 +54,13 @@ def _lines(jobs: DataFrame, key: str, text: str, url: str, title: str) -> DataFr
         .where(F.col("line") != "")
         .withColumn("is_title", F.coalesce(F.lower("line") == F.col("title"), F.lit(False)))
         .withColumns({"plain": F.when(F.col("is_title"), F.lit("\x01")).otherwise(plain), "named": F.when(F.col("is_title"), F.lit("\x01")).otherwise(named)})
-        .select("key", "site", "content", "line_no", "is_title", "plain", "named")
-    )
+        .withColumn("items", F.filter(F.split("plain", ITEMS), lambda x: F.length(x) > 1))
+        .select(
+            "key", "site", "content", "line_no", "is_title", F.xxhash64("plain").alias("plain"), F.xxhash64("named").alias("named"), F.col("named").rlike(r"\p{Ll}{2}").alias("worded"),
+            F.when(F.size("items") > 1, F.transform("items", lambda x: F.xxhash64(x))).alias("items"),
+        )
+        .withColumn("tree", F.xxhash64("site", "plain", "named"))
+    )
 
 
 def _recurs(a: Column, b: Column, pages: Column, bare: Column) -> Column:
@@ -60,49 +70,50 @@ def _recurs(a: Column, b: Column, pages: Column, bare: Column) -> Column:
 
 def judged_lines(jobs: DataFrame, key: str = "id", text: str = "raw_text", url: str = "source_url", title: str = "title") -> DataFrame:
     """(key, line_no, main): every non-blank line of the pages that hold a posting; main is whether it belongs to the posting."""
-    lines = _lines(jobs, key, text, url, title)
+    lines = written(_lines(jobs, key, text, url, title))
+    on_page = F.col("site") != ""
+    pages_of = lines.where(on_page).groupBy("site").agg(F.countDistinct("content").alias("of_site"))
     totals = jobs.agg(F.count_if((site(F.col(url)) != "") & F.col(text).isNotNull()).alias("pages"), F.count_if(F.coalesce(site(F.col(url)), F.lit("")) == "").alias("bare"))
     # one row for each subtree of a site; the counts over everything come from these few
-    by_site = written(lines.groupBy("site", "plain", "named", "content").agg(F.count("*").alias("n")).groupBy("site", "plain", "named").agg(F.sum("n").alias("n"), F.count("*").alias("contents")))
-    sizes = jobs.where(F.trim(F.col(text)) != "").select(site(F.col(url)).alias("site"), _content(text).alias("content")).where("site <> ''").distinct().groupBy("site").agg(F.count("*").alias("of_site"))
-    page, bare = F.sum(F.when(F.col("site") != "", F.col("n")).otherwise(0)), F.sum(F.when(F.col("site") == "", F.col("n")).otherwise(0))
+    once = lines.groupBy("tree", "content").agg(F.count("*").alias("n"), *[F.first(c).alias(c) for c in ("site", "plain", "named", "worded", "items")])
+    by_site = written(once.groupBy("tree").agg(F.sum("n").alias("n"), F.count("*").alias("contents"), *[F.first(c).alias(c) for c in ("site", "plain", "named", "worded", "items")]))
+    page, bare = F.sum(F.when(on_page, F.col("n")).otherwise(0)), F.sum(F.when(on_page, 0).otherwise(F.col("n")))
     plain = by_site.groupBy("plain").agg(page.alias("a1"), bare.alias("b1"))
     named = by_site.groupBy("named").agg(page.alias("a2"), bare.alias("b2"))
-    parts = by_site.select("site", "plain", "n", F.filter(F.split("plain", ITEMS), lambda x: F.length(x) > 1).alias("items"))
-    items = parts.select("site", "n", F.explode("items").alias("item")).groupBy("item").agg(page.alias("a"), bare.alias("b")).crossJoin(F.broadcast(totals))
+    items = by_site.select("site", "n", F.explode(F.coalesce("items", F.array("plain"))).alias("item")).groupBy("item").agg(page.alias("a"), bare.alias("b")).crossJoin(F.broadcast(totals))
     known = items.select("item", F.when(_recurs(F.col("a"), F.col("b"), F.col("pages"), F.col("bare")), 1).otherwise(0).alias("hit"))
     menus = (
-        parts.where(F.size("items") > 1).select("plain", "items").dropDuplicates(["plain"]).select("plain", F.explode("items").alias("item"))
+        by_site.where("items is not null").groupBy("plain").agg(F.first("items").alias("items")).select("plain", F.explode("items").alias("item"))
         .join(known, "item").groupBy("plain").agg(F.avg("hit").alias("menu"))
     )
-    words = F.regexp_count(F.col("named"), F.lit(r"\p{Ll}{2}"))
+    is_title = F.col("plain") == F.xxhash64(F.lit("\x01"))
     trees = (
-        by_site.where("site <> ''").join(plain, "plain").join(named, "named").join(menus, "plain", "left").join(sizes, "site").crossJoin(F.broadcast(totals))
+        by_site.where(on_page).join(plain, "plain").join(named, "named").join(menus, "plain", "left").join(pages_of, "site").crossJoin(F.broadcast(totals))
         .select(
-            "site", "plain", "named",
-            F.when(F.col("plain") == "\x01", 1.0)
+            "tree",
+            F.when(is_title, 1.0)
             .when(_recurs(F.col("a1"), F.col("b1"), F.col("pages"), F.col("bare")), -1.0)
             .when(F.col("b1") > 0, 1.0)
             .when((F.col("contents") >= SITE_PAGES) & (F.col("contents") >= SITE_SHARE * F.col("of_site")), -1.0)
             .when(F.coalesce("menu", F.lit(0.0)) >= 0.5, -1.0)
-            .when((words > 0) & _recurs(F.col("a2"), F.col("b2"), F.col("pages"), F.col("bare")), -1.0)
-            .when((words > 0) & (F.col("b2") > 0), 1.0)
+            .when(F.col("worded") & _recurs(F.col("a2"), F.col("b2"), F.col("pages"), F.col("bare")), -1.0)
+            .when(F.col("worded") & (F.col("b2") > 0), 1.0)
             .otherwise(0.0).alias("sign"),
-            ((F.col("b1") > 0) & (F.col("plain") != "\x01")).alias("seen"),
+            ((F.col("b1") > 0) & ~is_title).alias("seen"),
         )
     )
     at = Window.partitionBy("key").orderBy("line_no")
     whole = Window.partitionBy("key")
     near = lambda w: F.last(F.when(F.col("sign") != 0, F.col("sign")), ignorenulls=True).over(w)
     return (
-        lines.where("site <> ''").join(trees, ["site", "plain", "named"])
+        lines.where(on_page).select("key", "line_no", "is_title", "tree").join(trees, "tree")
         .withColumn("posting", F.sum(F.when(F.col("is_title"), POSTING_LINES).otherwise(F.col("seen").cast("int"))).over(whole))
         .where(F.col("posting") >= POSTING_LINES)
         .withColumns({
             "before": F.coalesce(near(at.rowsBetween(Window.unboundedPreceding, -1)), F.lit(-1.0)),
             "after": F.coalesce(near(Window.partitionBy("key").orderBy(F.desc("line_no")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(-1.0)),
         })
-        .select(F.col("key").alias(key), "line_no", F.when(F.col("sign") != 0, F.col("sign") > 0).otherwise(~((F.col("before") < 0) & (F.col("after") < 0))).alias("main"), "sign", "plain")
+        .select(F.col("key").alias(key), "line_no", F.when(F.col("sign") != 0, F.col("sign") > 0).otherwise(~((F.col("before") < 0) & (F.col("after") < 0))).alias("main"), "sign")
     )
 
 
