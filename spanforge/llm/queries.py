@@ -94,6 +94,11 @@ def p9_found(spark: SparkSession, sf: str) -> DataFrame:
     return rows.where(F.col("longest_run") >= leaks.RUN).select("doc_id", "item_id")
 
 
+def p9_copies(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents that hold a copy of an item, also an edited one, with the alignment's score and longest equal run."""
+    return leaks.leaks(table(spark, sf, "documents").select("doc_id", "text"), "doc_id", "text", table(spark, sf, "eval_items"), "item_id", "text")
+
+
 def p9_items(spark: SparkSession, sf: str) -> DataFrame:
     """The items that leaked, with the number of documents and the best alignment."""
     rows = leaks.leaks(table(spark, sf, "documents").select("doc_id", "text"), "doc_id", "text", table(spark, sf, "eval_items"), "item_id", "text")
@@ -112,4 +117,4 @@ def p10_sources(spark: SparkSession, sf: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Name to query over a data directory."""
-    return {f.__name__: f for f in (p1_found, p1_masked, p2_found, p3_found, p3_validation, p4_found, p4_text, p5_found, p5_misses, p6_found, p7_found, p7_segments, p8_ids, p9_found, p9_items, p10_found, p10_sources)}
+    return {f.__name__: f for f in (p1_found, p1_masked, p2_found, p3_found, p3_validation, p4_found, p4_text, p5_found, p5_misses, p6_found, p7_found, p7_segments, p8_ids, p9_found, p9_copies, p9_items, p10_found, p10_sources)}

@@ -312,18 +312,40 @@ def test_leaks_equal_brute_force(spark):
     assert leaks.leaks(d.limit(0), "doc_id", "text", e, "item_id", "text").count() == 0
 
 
+def test_edited_copies_are_aligned(spark):
+    r = random.Random(91)
+    vocabulary = [f"v{i}" for i in range(300)]
+    items = [(i, " ".join(r.choice(vocabulary) for _ in range(40))) for i in range(6)]
+    docs = []
+    for k in range(60):
+        w = items[k % 6][1].split()
+        for at in range(r.randint(0, 8), 40, 9):  # one word in nine is another one: no run of twelve is left
+            w[at] = "edited"
+        docs.append((k, " ".join(r.choice(vocabulary) for _ in range(20)) + " " + " ".join(w)))
+    docs += [(1000 + k, " ".join(r.choice(vocabulary) for _ in range(60))) for k in range(60)]
+    d, e = spark.createDataFrame(docs, "doc_id int, text string"), spark.createDataFrame(items, "item_id int, text string")
+    got = {(x.doc_id, x.item_id): (x.score, x.longest_run) for x in leaks.leaks(d, "doc_id", "text", e, "item_id", "text").collect()}
+    assert set(got) == {(k, k % 6) for k in range(60)}
+    assert all(s >= 50 and n < leaks.RUN for s, n in got.values())
+
+
 def test_alignment_equals_plain_table():
     r = np.random.default_rng(3)
-    for _ in range(30):
-        a, b = r.integers(0, 5, 15), r.integers(0, 5, 20)
-        h = np.zeros((16, 21))
-        run = np.zeros((16, 21), dtype=int)
-        for i in range(1, 16):
-            for j in range(1, 21):
+    pairs, want = [], []
+    for k in range(30):
+        a, b = r.integers(0, 5, 15 - k % 4), r.integers(-1, 5, 20 - k % 7)
+        h = np.zeros((len(a) + 1, len(b) + 1))
+        run = np.zeros((len(a) + 1, len(b) + 1), dtype=int)
+        for i in range(1, len(a) + 1):
+            for j in range(1, len(b) + 1):
                 same = a[i - 1] == b[j - 1]
                 h[i, j] = max(0, h[i - 1, j - 1] + (2 if same else -1), h[i - 1, j] - 1, h[i, j - 1] - 1)
                 run[i, j] = run[i - 1, j - 1] + 1 if same else 0
-        assert leaks.align(a, b) == (h.max(), run.max())
+        pairs.append((a, b))
+        want.append((h.max(), run.max()))
+    score, longest = leaks.align([a for a, _ in pairs], [b for _, b in pairs])
+    assert list(zip(score, longest)) == want
+    assert all((x[0][0], x[1][0]) == w for w, (a, b) in zip(want, pairs) for x in [leaks.align([a], [b])])
 
 
 # --- 10 ---------------------------------------------------------------------------------------------------------------
