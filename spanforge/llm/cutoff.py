@@ -21,7 +21,7 @@ from spanforge.session import written
 
 # Tokens are numbers, words, list marks and ends of sentence or line; marks that cutters leave.
 PATTERNS = {
-    "tokens": r"\p{N}+(?:[.,:]\p{N}+)*|[\p{L}\p{M}\p{N}]+(?:['’][\p{L}\p{M}]+)*|(?:[.!?…]\s|[.!?…]$|\n)(?:[.!?…\s])*|[,;:–—/|•·]",
+    "tokens": r"[a-zA-Z\p{L}\p{M}][a-zA-Z\p{L}\p{M}\p{N}]*+(?:['’][\p{L}\p{M}]++)*+|[0-9\p{N}]++(?:[.,:]\p{N}++)*+|(?:[.!?…]\s|[.!?…]$|\n)(?:[.!?…\s])*+|[,;:–—/|•·]",
     "mark": r"(?:\s*(?:\.{3,}|…|\[\.\.\.\]|\[…\]|\uFFFD+))+\s*$",
     "link": r"(?:://|www\.|@)\S*$",
     "number": r"^\p{N}",
@@ -37,6 +37,13 @@ LONGER = 30  # times more often that longer words start so than the word itself
 STOPS = 0.12  # share of stops below which an ending counts as a cut
 
 
+# the levels of one trigram (a, b, c), each word with l, its lower case, and u, whether it is written as a name; the words of level 0 lie
+# by their first letter, so that those a last word may begin lie together but not all in one place
+LEVELS = """array(
+            named_struct('level', 3, 'k', concat_ws(' ', a.l, b.l), 'w', c.l), named_struct('level', 2, 'k', b.l, 'w', c.l),
+            named_struct('level', 1, 'k', concat_ws(' ', if(a.u, 'X', a.l), if(b.u, 'X', b.l)), 'w', if(c.u, 'X', c.l)), named_struct('level', 0, 'k', left(c.l, 1), 'w', c.l))"""
+
+
 def ends(documents: DataFrame, key: str, text: str) -> DataFrame:
     """(key, marked, level, share, cut) of every text that does not end in a sentence's closing punctuation, a semicolon or a link.
 
@@ -53,9 +60,11 @@ def ends(documents: DataFrame, key: str, text: str) -> DataFrame:
         ), bodies as (
           select id, t, case when substr(t, -40) rlike :mark then regexp_replace(t, :mark, '') else t end as body from texts
         )
-        select id, t <> body as marked, body rlike :link as linked, body rlike :open as open_end, regexp_substr(body, '[^\\\\n]*$') rlike :names as named,
-          concat(array('¶', '¶'), transform(regexp_extract_all(body, :tokens, 0), x -> case when lower(left(x, 1)) between 'a' and 'z' then x
-            when x rlike :number then '#' when x rlike :ended then '¶' when x rlike :listed then ',' else x end)) as w
+        select id, t <> body as marked, body rlike :link as linked, body rlike :open as open_end, regexp_substr(body, '[^\\n]*$') rlike :names as named,
+          concat(array(named_struct('l', '¶', 'u', false), named_struct('l', '¶', 'u', false)), transform(regexp_extract_all(body, :tokens, 0), x -> case
+            when left(x, 1) between 'a' and 'z' then named_struct('l', lower(x), 'u', false) when left(x, 1) between 'A' and 'Z' then named_struct('l', lower(x), 'u', true)
+            when x rlike :number then named_struct('l', '#', 'u', false) when x rlike :ended then named_struct('l', '¶', 'u', false) when x rlike :listed then named_struct('l', ',', 'u', false)
+            else named_struct('l', lower(x), 'u', x rlike :name) end)) as w
         from bodies
         """,
         args=PATTERNS,
@@ -68,33 +77,18 @@ def ends(documents: DataFrame, key: str, text: str) -> DataFrame:
           select * from {split_view}
         ), grams as (
           select id, g.* from split_ lateral view explode(transform(sequence(2, greatest(2, size(w) - 1)), i -> struct(
-            lower(get(w, i - 2)) as a, lower(get(w, i - 1)) as b, lower(get(w, i)) as c,
-            case when left(get(w, i - 2), 1) between 'A' and 'Z' or left(get(w, i - 2), 1) > '~' and get(w, i - 2) rlike :name then 'X' else get(w, i - 2) end as ma,
-            case when left(get(w, i - 1), 1) between 'A' and 'Z' or left(get(w, i - 1), 1) > '~' and get(w, i - 1) rlike :name then 'X' else get(w, i - 1) end as mb,
-            case when left(get(w, i), 1) between 'A' and 'Z' or left(get(w, i), 1) > '~' and get(w, i) rlike :name then 'X' else get(w, i) end as mc,
-            coalesce(get(w, i + 1) not in ('¶', ','), false) as goes_on))) as g
-          where g.c not in ('¶', ',')
+            get(w, i - 2) as a, get(w, i - 1) as b, get(w, i) as c, coalesce(get(w, i + 1).l not in ('¶', ','), false) as goes_on))) as g
+          where g.c.l not in ('¶', ',')
         ), counted as (
-          select a, b, c, ma, mb, mc, sum(cast(goes_on as bigint)) as goes_on, sum(cast(not goes_on as bigint)) as stops
-          from grams group by a, b, c, ma, mb, mc
+          select a, b, c, sum(cast(goes_on as bigint)) as goes_on, sum(cast(not goes_on as bigint)) as stops from grams group by a, b, c
         ), levels as (
-          select l.level, l.k, l.w, sum(goes_on) as goes_on, sum(stops) as stops
-          from counted lateral view inline(array(
-            named_struct('level', 3, 'k', concat_ws(' ', a, b), 'w', c), named_struct('level', 2, 'k', b, 'w', c),
-            named_struct('level', 1, 'k', concat_ws(' ', ma, mb), 'w', mc), named_struct('level', 0, 'k', '', 'w', c))) l as level, k, w
-          group by l.level, l.k, l.w
+          select l.level, l.k, l.w, sum(goes_on) as goes_on, sum(stops) as stops from counted lateral view inline({LEVELS}) l as level, k, w group by l.level, l.k, l.w
         ), asked as (
-          select id, marked, lower(element_at(w, -3)) as a, lower(element_at(w, -2)) as b, lower(element_at(w, -1)) as c,
-            case when left(element_at(w, -3), 1) between 'A' and 'Z' or left(element_at(w, -3), 1) > '~' and element_at(w, -3) rlike :name then 'X' else element_at(w, -3) end as ma,
-            case when left(element_at(w, -2), 1) between 'A' and 'Z' or left(element_at(w, -2), 1) > '~' and element_at(w, -2) rlike :name then 'X' else element_at(w, -2) end as mb,
-            case when left(element_at(w, -1), 1) between 'A' and 'Z' or left(element_at(w, -1), 1) > '~' and element_at(w, -1) rlike :name then 'X' else element_at(w, -1) end as mc,
-            element_at(w, -1) = ',' as open_, named
+          select id, marked, element_at(w, -3) as a, element_at(w, -2) as b, element_at(w, -1) as c, element_at(w, -1).l = ',' as open_, named
           from split_
-          where size(w) > 2 and not linked and (element_at(w, -1) <> '¶' or marked) and (marked or open_end)
+          where size(w) > 2 and not linked and (element_at(w, -1).l <> '¶' or marked) and (marked or open_end)
         ), wanted as (
-          select distinct l.level, l.k, l.w from asked lateral view inline(array(
-            named_struct('level', 3, 'k', concat_ws(' ', a, b), 'w', c), named_struct('level', 2, 'k', b, 'w', c),
-            named_struct('level', 1, 'k', concat_ws(' ', ma, mb), 'w', mc), named_struct('level', 0, 'k', '', 'w', c))) l as level, k, w
+          select distinct l.level, l.k, l.w from asked lateral view inline({LEVELS}) l as level, k, w
         ), near_ as (
           select l.level, l.k, l.w, l.goes_on, l.stops from levels l left semi join (select distinct level, k from wanted) q on l.level = q.level and l.k = q.k
         ), prefixes as (
@@ -110,9 +104,7 @@ def ends(documents: DataFrame, key: str, text: str) -> DataFrame:
             max_by(named_struct('level', j.level, 'share', j.stops / (j.goes_on + j.stops + j.longer)), case j.level when 1 then 2.5 else j.level end)
               filter (where j.goes_on + j.stops + j.longer >= {EVIDENCE}) as j,
             bool_or(j.level in (0, 2) and j.longer >= {EVIDENCE} and j.longer > {LONGER} * (j.goes_on + j.stops)) as inside
-          from (select id, marked, open_, named, l.* from asked lateral view inline(array(
-            named_struct('level', 3, 'k', concat_ws(' ', a, b), 'w', c), named_struct('level', 2, 'k', b, 'w', c),
-            named_struct('level', 1, 'k', concat_ws(' ', ma, mb), 'w', mc), named_struct('level', 0, 'k', '', 'w', c))) l as level, k, w) a
+          from (select id, marked, open_, named, l.* from asked lateral view inline({LEVELS}) l as level, k, w) a
           join judged j on a.level = j.level and a.k = j.k and a.w = j.w
           group by a.id, a.marked, a.open_, a.named
         )
