@@ -70,6 +70,12 @@ def p6_found(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select(F.col("id_a").alias("candidate_id_a"), F.col("id_b").alias("candidate_id_b"))
 
 
+def p6_classes(spark: SparkSession, sf: str) -> DataFrame:
+    """Every CV with its class of exact copies and the number of texts that are nearly the same."""
+    rows = neardup.memberships(table(spark, sf, "candidates").select("id", "raw_text"), "id", "raw_text")
+    return rows.withColumnRenamed("id", "candidate_id")
+
+
 def p7_found(spark: SparkSession, sf: str) -> DataFrame:
     """Languages that a record contains and its label does not name."""
     rows = langid.undenoted(table(spark, sf, "candidates").select("id", "raw_text", "language"), table(spark, sf, "jobs").select("id", "raw_text", "language"))
@@ -117,4 +123,4 @@ def p10_sources(spark: SparkSession, sf: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Name to query over a data directory."""
-    return {f.__name__: f for f in (p1_found, p1_masked, p2_found, p3_found, p3_validation, p4_found, p4_text, p5_found, p5_misses, p6_found, p7_found, p7_segments, p8_ids, p9_found, p9_copies, p9_items, p10_found, p10_sources)}
+    return {f.__name__: f for f in (p1_found, p1_masked, p2_found, p3_found, p3_validation, p4_found, p4_text, p5_found, p5_misses, p6_found, p6_classes, p7_found, p7_segments, p8_ids, p9_found, p9_copies, p9_items, p10_found, p10_sources)}

@@ -214,6 +214,19 @@ def test_near_duplicates_equal_brute_force(spark):
     assert {k for k, v in want.items() if v >= 0.65} <= set(got) <= set(want)
     assert all(abs(got[k] - want[k]) < 1e-9 for k in got) and ("copy1", "copy2") in got
     assert neardup.similar_pairs(d.limit(0), "id", "t").count() == 0
+    text_of = dict(data)
+    classes = {x.id: (x.class_id, x.copies, x.links) for x in neardup.memberships(d, "id", "t").collect()}
+    assert set(classes) == set(sets)
+    for k, (c, n, m) in classes.items():
+        same = sorted(x for x in sets if text_of[x] == text_of[k])
+        assert (c, n) == (same[0], len(same)) and m == len({text_of[y if x == k else x] for x, y in got if k in (x, y)} - {text_of[k]})
+
+
+def test_crowded_buckets_are_salted(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "BUCKET", 3)
+    base = [f"w{i}" for i in range(60)]
+    d = spark.createDataFrame([(f"c{i:02}", " ".join([*base, f"own{i}"])) for i in range(25)], "id string, t string")
+    assert neardup.similar_pairs(d, "id", "t").count() == 25 * 24 // 2
 
 
 def test_embedding_is_a_lower_bound():
