@@ -70,6 +70,7 @@ OTHER = re.compile(r"[\u0370-\u04ff]")
 MIXED = re.compile(r"(?<!\w)(?:\w*[a-zA-Zà-ÿ]\w*[\u0370-\u04ff]\w*|\w*[\u0370-\u04ff]\w*[a-zA-Zà-ÿ]\w*)")
 ALIKE = str.maketrans(CYRILLIC_ALIKE + GREEK_ALIKE, CYRILLIC_LATIN + GREEK_LATIN)
 SIGN = re.compile("@")
+BREAK = re.compile("\n")
 DIGIT = re.compile(r"\d")
 AT = re.compile(r"@|[\[({](?:at|@)[\])}]| at (?=[\w-]+ dot )", re.I)
 STREETS = re.compile(
@@ -144,12 +145,19 @@ def nodes(text: str, weak: bool = False) -> tuple[list[Node], np.ndarray | None]
         n.kind, n.start, n.end, n.text, n.weak = kind, a, b, s[a:b], -1
         found.append(n)
 
-    end = 0
+    starts = [0]
+    for m in BREAK.finditer(s):
+        starts.append(m.end())
+    border = lambda k: starts[k] if k < len(starts) else len(s)
+    end = k = 0
     low = s.lower()
     spelled = "[at" in low or "(at" in low or "{at" in low or " dot " in low
     for m in (AT if spelled else SIGN).finditer(s):
+        while border(k + 1) <= m.start():
+            k += 1
         if m.start() >= end:
-            for e in EMAIL.finditer(s, max(end, m.start() - 90), m.end() + 120):
+            # an address may break its line once on either side of the sign
+            for e in EMAIL.finditer(s, max(end, starts[max(0, k - 1)]), border(k + 2)):
                 if e.end() > m.start():
                     if e.start() <= m.start():
                         a, b = e.span()
@@ -159,22 +167,21 @@ def nodes(text: str, weak: bool = False) -> tuple[list[Node], np.ndarray | None]
                         add("email", a, b)
                         end = b
                     break
-    end = line_start = above = 0
-    starts = []
-    for line in s.split("\n"):
-        starts.append(line_start)
+    end = 0
+    for k, line_start in enumerate(starts):
+        line = s[line_start : border(k + 1)]
         if DIGIT.search(line) and (HOUSE.search(line) or HOUSE_BEHIND.search(line)):
             for m in STREETS.finditer(line):
-                if line_start + m.start() >= end:
-                    # from the line above for a flat or house before the street
-                    for e in ADDRESS.finditer(s, max(end, above, line_start + m.start() - 120), line_start + m.end() + 160):
-                        if e.end() > line_start + m.start():
-                            if e.start() <= line_start + m.start() and free(*e.span()):
+                at_street = line_start + m.start()
+                if at_street >= end:
+                    # up to two breaks before the street (flat, house) and four behind it (flat, town, postcode)
+                    for e in ADDRESS.finditer(s, max(end, starts[max(0, k - 2)]), border(k + 5)):
+                        if e.end() > at_street or e.start() > at_street:
+                            if e.start() <= at_street and free(*e.span()):
                                 taken.append(e.span())
                                 add("address", *e.span())
                                 end = e.end()
                             break
-        above, line_start = line_start, line_start + len(line) + 1
     for m in NUMBER.finditer(s):
         a, b = m.span()
         t = m[0]
@@ -183,8 +190,7 @@ def nodes(text: str, weak: bool = False) -> tuple[list[Node], np.ndarray | None]
                 a += 1
             elif t.endswith(")"):
                 b -= 1
-        digits = sum(map(str.isdigit, t))
-        if (digits >= 6 or digits >= 4 and t[:3].isalpha() and len(t) >= 9) and free(a, b):
+        if free(a, b):
             taken.append((a, b))
             add("number", a, b)
     for m in NAME.finditer(s):
@@ -194,10 +200,6 @@ def nodes(text: str, weak: bool = False) -> tuple[list[Node], np.ndarray | None]
         if (t := TITLE.match(s, a)) and t.end() < b:
             a = t.end()
         if " " in s[a:b] and free(a, b):
-            if s[a:b].isupper():  # a shouted sentence is no place to tell names by capitals
-                line = s[s.rfind("\n", 0, a) + 1 : s.find("\n", b) if "\n" in s[b:] else len(s)]
-                if line.isupper() and line.count(" ") > 6:
-                    continue
             add("name", a, b)
     found.sort(key=lambda n: n.start)
     k = 0
@@ -278,8 +280,13 @@ def _describe(n: Node, s: str, line_start: int, line_end: int, weak: bool) -> No
     around = _around("#" if n.kind == "number" else n.kind[0], pre[-1] if pre else None, pre[-2] if len(pre) > 1 else None, post[0] if post else None, after[:1] + before[-1:], min(n.line, 9))
     n.tokens, own = _form(n.kind, n.text)
     n.features = around + own
+    shouted = n.kind == "name" and n.text.isupper() and s[line_start:line_end].isupper() and s.count(" ", line_start, line_end) > 6
+    if shouted:  # capitals tell no name in a shouted sentence: a feature that learns it, not a veto
+        n.features += (_hash("Z"),)
     if weak:
         n.weak = _weak_name(n, before, s[n.end : min(line_end, n.end + 80)]) if n.kind == "name" else _weak_number(n, before) if n.kind == "number" else {"email": 2, "address": 5}[n.kind]
+        if shouted and n.weak < 0:
+            n.weak = 0
 
 
 def _weak_name(n: Node, before: str, after: str) -> int:

@@ -49,6 +49,14 @@ def test_pii_spans_fit_odd_characters(model):
     assert "phone" in {k for k, *_ in pii.spans(model, [t])[0]}
 
 
+def test_pii_beyond_any_window(model):
+    long_mail = "a." + "b" * 150 + "@" + "sub." * 40 + "example"
+    far = "Flat 12,\nQuayside House,\n7 Elm " + "Longstreetname" * 12 + " Lane,\nNorford, QX3 4ZX"
+    t = f"{cv(3)}\nWrite to {long_mail} today.\nAddress: {far}\n"
+    got = {(k, t[a:b]) for k, a, b, _ in pii.spans(model, [t])[0]}
+    assert ("email", long_mail) in got and ("address", far) in got
+
+
 def test_pii_surname_that_is_a_frequent_phrase_end(model):
     name = re.match(r".*", cv(777))[0]
     t = cv(777).replace(name, "Gretha Works").replace("Reported to ", "Reported to Gretha Works, head of yards.\nReported to ")
