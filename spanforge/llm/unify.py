@@ -33,6 +33,11 @@ HYPHENS = "‐‑"
 INVISIBLE_EXTRA = (0x034F, 0x115F, 0x1160, 0x17B4, 0x17B5, 0x180B, 0x180C, 0x180D, 0x180F, 0x3164, 0xFFA0)
 
 
+# Hangul letters that compose by rule, and the syllables in the order of that rule.
+LEADS, VOWELS, FINALS = range(0x1100, 0x1113), range(0x1161, 0x1176), range(0x11A8, 0x11C3)
+SYLLABLES = range(0xAC00, 0xD7A4)
+
+
 def _script(cp: int) -> int:
     """1 Latin, 2 Greek, 3 Cyrillic, 0 any other; by the character's name."""
     if not unicodedata.category(chr(cp)).startswith("L"):
@@ -65,7 +70,7 @@ def tables() -> tuple[list, dict, str, str]:
 
     The mapping has one row for each assigned code point that has another form, a
     combining class or a Greek, Cyrillic or non-ASCII Latin script: its size is bound by
-    Unicode (some 15,000 rows), not by the data.
+    Unicode (some 6,600 rows), not by the data.
     """
     rows, pairs, odd = [], {}, []
     alike = {**dict(zip(CYRILLIC_ALIKE, CYRILLIC_LATIN)), **dict(zip(GREEK_ALIKE, GREEK_LATIN))}
@@ -81,12 +86,12 @@ def tables() -> tuple[list, dict, str, str]:
         if d and d[0] != "<" and len(d.split()) == 2 and unicodedata.normalize("NFC", ch) == ch:
             a, b = (chr(int(x, 16)) for x in d.split())
             pairs[a + b] = ch
-        if composed != ch or ccc:
+        if composed != ch or ccc or cp in VOWELS or cp in FINALS:
             odd.append(cp)
         if form != ch or ccc or script:
             parts = [(p, unicodedata.combining(p), _script(ord(p))) for p in form]
             rows.append((ch, [(p, c, s, alike.get(p), to_greek.get(p), to_cyrillic.get(p)) for p, c, s in parts]))
-    odd += range(0xE0000, 0xE0080)
+    odd = sorted({*odd, *(ord(p[1]) for p in pairs)}) + list(range(0xE0000, 0xE0080))
     spans, start = [], odd[0]
     for x, y in zip(odd, [*odd[1:], 0]):
         if y != x + 1:
@@ -119,15 +124,32 @@ def suspect(text: Column, exactly: bool) -> Column:
     return (text.rlike(quick) & text.rlike(odd)) | (text.rlike(OTHER_SCRIPTS) & text.rlike(MIXED))
 
 
-def _composed(parts: Column, pairs: Column) -> Column:
-    """Canonical composition of code points whose marks are in order: each mark joins the last starter unless blocked."""
+def _syllable(start: Column, p: Column) -> Column:
+    """The Hangul syllable of a lead and a vowel, or of a syllable without a final and a final; null of others."""
+    a, b = F.ascii(start), F.ascii(p)
+    at = F.when(a.between(LEADS[0], LEADS[-1]) & b.between(VOWELS[0], VOWELS[-1]), ((a - LEADS[0]) * len(VOWELS) + b - VOWELS[0]) * (len(FINALS) + 1)).when(
+        a.between(SYLLABLES[0], SYLLABLES[-1]) & b.between(FINALS[0], FINALS[-1]) & ((a - SYLLABLES[0]) % (len(FINALS) + 1) == 0), a - SYLLABLES[0] + b - FINALS[0] + 1
+    )
+    return F.substring(F.lit("".join(map(chr, SYLLABLES))), at + 1, F.lit(1))
+
+
+def _composed(parts: Column, pairs: Column, seconds: str) -> Column:
+    """Canonical composition of code points whose marks are in order: each joins the last starter unless blocked.
+
+    A mark is blocked by one of its class or higher before it, a starter by anything
+    before it; seconds are the starters that compose with the one before them.
+    """
     state = F.struct(F.lit("").alias("done"), F.lit("").alias("start"), F.lit("").alias("tail"), F.lit(0).alias("last"))
+    follows = F.lit(seconds + "".join(map(chr, (*VOWELS, *FINALS))))
 
     def step(s: Column, x: Column) -> Column:
-        joined = F.when((x.ccc > 0) & (s.start != "") & ((s["last"] < x.ccc) | (s.tail == "")), F.try_element_at(pairs, F.concat(s.start, x.p)))
+        pair = F.try_element_at(pairs, F.concat(s.start, x.p))
+        joined = F.when((x.ccc > 0) & (s.start != "") & ((s["last"] < x.ccc) | (s.tail == "")), pair).when(
+            (x.ccc == 0) & (s.start != "") & (s.tail == "") & follows.contains(x.p), F.coalesce(pair, _syllable(s.start, x.p))
+        )
         return (
-            F.when(x.ccc == 0, F.struct(F.concat(s.done, s.start, s.tail).alias("done"), x.p.alias("start"), F.lit("").alias("tail"), F.lit(0).alias("last")))
-            .when(joined.isNotNull(), F.struct(s.done.alias("done"), joined.alias("start"), s.tail.alias("tail"), s["last"].alias("last")))
+            F.when(joined.isNotNull(), F.struct(s.done.alias("done"), joined.alias("start"), s.tail.alias("tail"), s["last"].alias("last")))
+            .when(x.ccc == 0, F.struct(F.concat(s.done, s.start, s.tail).alias("done"), x.p.alias("start"), F.lit("").alias("tail"), F.lit(0).alias("last")))
             .otherwise(F.struct(s.done.alias("done"), s.start.alias("start"), F.concat(s.tail, x.p).alias("tail"), x.ccc.alias("last")))
         )
 
@@ -173,10 +195,11 @@ def consistent_lines(df: DataFrame, key: str, text: str) -> DataFrame:
         .otherwise(F.coalesce("latin", "p")),
     )
     ordered = F.transform(F.sort_array(F.collect_list(F.struct("starter", "ccc", "pos", "sub", F.col("q").alias("p")))), lambda x: F.struct(x.p.alias("p"), x.ccc.alias("ccc")))
+    seconds = "".join(sorted({p[1] for p in pairs if not unicodedata.combining(p[1])}))
     pair = F.from_json(F.lit(json.dumps(pairs, ensure_ascii=False)), T.MapType(T.StringType(), T.StringType()))
     return (
         fixed.groupBy(*same).agg(ordered.alias("parts"))
-        .select(*same, _composed(F.filter("parts", lambda x: x.p != ""), pair).alias("body"))
+        .select(*same, _composed(F.filter("parts", lambda x: x.p != ""), pair, seconds).alias("body"))
         .withColumn("form", F.when(F.col("line").endswith("\r"), F.concat("body", F.lit("\r"))).otherwise(F.col("body")))
         .where(F.col("form") != F.col("line"))
         .select(F.col("key").alias(key), "line_no", "line", "form", "doc")

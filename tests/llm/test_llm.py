@@ -94,6 +94,14 @@ def test_marks_equal_unicode(spark):
     assert all(got.get(i, t) == unicodedata.normalize("NFC", t) for i, t in enumerate(texts))
 
 
+def test_starters_that_compose_equal_unicode(spark):
+    texts = ["한국어 문장", "값 넋 여덟", "\u1100\u1161\u11a8\u11a8", "\u09c7\u09be \u0bc6\u0bbe \u0dd9\u0dcf", "\u09be\u09be", "\u1100\u0301\u1161", "나는 간다"]
+    texts = [unicodedata.normalize("NFD", t) for t in texts]
+    d = spark.createDataFrame(list(enumerate(texts)), "id int, t string")
+    got = {r.id: r.form for r in unify.consistent_lines(d, "id", "t").collect()}
+    assert [got.get(i, t) for i, t in enumerate(texts)] == [unicodedata.normalize("NFC", t) for t in texts] and len(got) >= 5
+
+
 # --- 3 ----------------------------------------------------------------------------------------------------------------
 
 GOOD = ["You will look after stock counts and report to the site lead.", "Our team shares one office and takes turns with the late shift.", "A typical day starts with sample logs and ends with a handover.", "We rely on careful notes for the archive, though training is given.", "Forms marked [INSERT DATE HERE] are still printed and we want to replace them."]
