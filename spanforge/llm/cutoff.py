@@ -60,7 +60,7 @@ def ends(documents: DataFrame, key: str, text: str) -> DataFrame:
         ), bodies as (
           select id, t, case when substr(t, -40) rlike :mark then regexp_replace(t, :mark, '') else t end as body from texts
         )
-        select id, t <> body as marked, body rlike :link as linked, body rlike :open as open_end, regexp_substr(body, '[^\\n]*$') rlike :names as named,
+        select id, t <> body as marked, body rlike :link as linked, right(body, 2) rlike :open as open_end, substring_index(body, char(10), -1) rlike :names as named,
           concat(array(named_struct('l', '¶', 'u', false), named_struct('l', '¶', 'u', false)), transform(regexp_extract_all(body, :tokens, 0), x -> case
             when left(x, 1) between 'a' and 'z' then named_struct('l', lower(x), 'u', false) when left(x, 1) between 'A' and 'Z' then named_struct('l', lower(x), 'u', true)
             when x rlike :number then named_struct('l', '#', 'u', false) when x rlike :ended then named_struct('l', '¶', 'u', false) when x rlike :listed then named_struct('l', ',', 'u', false)
