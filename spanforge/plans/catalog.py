@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanforge.functions import dates, numeric, text
-from spanforge.operators import education, gazetteer, matching, persist, ranking, reading, sections, spans, tenure
+from spanforge.operators import education, gazetteer, matching, persist, proposals, ranking, reading, sections, spans, tenure
 from spanforge.plans import catalog_sql, fixtures
-from spanforge.session import table
+from spanforge.session import table, written
 from spanforge.sources import html
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -48,6 +48,13 @@ def rank_top_candidates(spark, sf):
     return best.select("job_id", "candidate_id", "score", "rank")
 
 
+@query
+def rank_by_score_alone(spark, sf):
+    """The best five candidates of each job, ties by candidate, whatever their age."""
+    best = ranking.top(_matches(spark, sf).where("score is not null"), ["job_id"], [F.desc("score"), F.asc("candidate_id")], 5)
+    return best.select("job_id", "candidate_id", "rank")
+
+
 @query
 def rank_jobs_of_candidates(spark, sf):
     """The best three jobs of each candidate, ties by job."""
@@ -361,15 +368,76 @@ def required_skill_fractions(spark, sf):
     return matching.has_all(fixtures.job_requirements(spark, sf), held, "job_id", "skill_id", "candidate_id").select("job_id", "candidate_id", "met", "fraction")
 
 
-@query
-def score_top_pairs(spark, sf):
-    """All pairs of jobs and candidates scored in four dimensions; the best five of each job."""
+def _scoring_sides(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(jobs, candidates, skill scores of the pairs that share any)."""
     required = fixtures.job_requirements(spark, sf)
     tiers = matching.requirement_tiers(required, fixtures.candidate_skills(spark, sf), matching.related_pairs(table(spark, sf, "taxonomy_entries")))
     degree = F.when(F.col("c_custkey") % 6 < 5, (F.col("c_custkey") % 6).cast("int")).alias("degree_index")
     people = table(spark, sf, "customer").select(F.col("c_custkey").alias("candidate_id"), degree).join(_years(spark, sf).select("candidate_id", "years"), "candidate_id", "left")
-    pairs = matching.pair_scores(fixtures.job_dimensions(spark, sf), people.withColumn("years", F.coalesce("years", F.lit(0.0))), matching.skill_scores(tiers, required))
-    return ranking.top(pairs, ["job_id"], [F.desc("raw"), F.asc("candidate_id")], 5).select("job_id", "candidate_id", "score", "rank")
+    return fixtures.job_dimensions(spark, sf), people.withColumn("years", F.coalesce("years", F.lit(0.0))), matching.skill_scores(tiers, required)
+
+
+@query
+def score_top_pairs(spark, sf):
+    """All pairs of jobs and candidates scored in four dimensions; the best five of each job."""
+    jobs, people, skills = _scoring_sides(spark, sf)
+    return matching.top_pairs(jobs, people, skills, 5).select("job_id", "candidate_id", "score", "rank")
+
+
+@query
+def score_jobs_of_candidates(spark, sf):
+    """The reverse: the best three jobs of every hundredth candidate among all jobs."""
+    jobs, people, skills = _scoring_sides(spark, sf)
+    asked = people.where("candidate_id % 100 = 0")
+    return matching.top_jobs(jobs, asked, skills.where("candidate_id % 100 = 0"), 3).select("candidate_id", "job_id", "score", "rank")
+
+
+@query
+def education_parts(spark, sf):
+    """Degree and certificates of keys as one sub-score; every seventh wants no certificate."""
+    k = F.col("c_custkey")
+    degree = numeric.degree_score(F.when(k % 6 < 5, (k % 6).cast("int")), (k % 4 + 1).cast("int"))
+    return table(spark, sf, "customer").select("c_custkey", matching.education_part(degree, F.when(k % 7 != 0, (k % 3) / F.lit(2.0))).alias("part"))
+
+
+@query
+def proposed_requirements(spark, sf):
+    """Requirements proposed from postings written out of keys."""
+    k = F.col("s_suppkey")
+    entries = fixtures.numbered_entries(spark, sf)
+    rows = table(spark, sf, "supplier").select(k.alias("job_id"), (k * 13 % 102).cast("int").alias("n")).join(F.broadcast(entries), "n")
+    text = F.concat(F.lit("Wanted: "), F.col("label"), F.lit("; at least "), F.col("job_id") % 9 + 1, F.lit(" years of experience, better "), F.col("job_id") % 9 + 3, F.lit("+ years.\nMSc in Optics preferred, BSc in Optics required.\nPMP; PMP"))
+    found = proposals.attributes(rows.select("job_id", text.alias("t")), "job_id", "t", gazetteer.surfaces(table(spark, sf, "taxonomy_entries")))
+    return proposals.proposed(found, "job_id").select("job_id", "kind", "entry_id", "number")
+
+
+@query
+def proposals_of_postings(spark, sf):
+    """Requirements proposed from the postings."""
+    found = proposals.attributes(table(spark, sf, "jobs").select("id", "raw_text"), "id", "raw_text", gazetteer.surfaces(table(spark, sf, "taxonomy_entries")))
+    return proposals.proposed(found, "id")
+
+
+@query
+def score_texts(spark, sf):
+    """End to end: requirements out of postings, attributes out of CVs, the best three CVs of each posting that parsed well in English."""
+    terms = gazetteer.surfaces(table(spark, sf, "taxonomy_entries"))
+    readable = lambda name: table(spark, sf, name).where(persist.outcome(F.col("parse_status"), F.col("language")) == "scoreable").select("id", "raw_text").dropDuplicates(["id"])
+    wishes = written(proposals.proposed(proposals.attributes(readable("jobs"), "id", "raw_text", terms), "id"))
+    cvs = readable("candidates")
+    held = written(proposals.attributes(cvs, "id", "raw_text", terms).drop("place"))
+    month = F.struct(F.col("from.month").alias("from_month"), F.col("to.month").alias("to_month"))
+    roles = spans.outside(tenure.ranges(cvs, "id", "raw_text", 2026 * 12 + 8), sections.sections(cvs, "id", "raw_text").where("section in ('education', 'certifications')"), "id")
+    roles = roles.where("from.kind = 'resolved' and to.kind = 'resolved'").select(F.col("id").alias("candidate_id"), month.alias("m")).select("candidate_id", "m.*")
+    stated = held.where("kind = 'years'").select(F.col("id").alias("candidate_id"), F.col("number").alias("years"))
+    years = tenure.total_years(tenure.plausible(roles, 2026 * 12 + 8), stated, "candidate_id").select("candidate_id", "years")
+    degrees = held.where("kind = 'degree'").groupBy(F.col("id").alias("candidate_id")).agg(F.max("number").cast("int").alias("degree_index"))
+    people = cvs.select(F.col("id").alias("candidate_id")).join(years, "candidate_id", "left").join(degrees, "candidate_id", "left").select("candidate_id", F.coalesce("years", F.lit(0.0)).alias("years"), "degree_index")
+    required = wishes.where("kind = 'skill'").select(F.col("id").alias("job_id"), F.col("entry_id").alias("req_id"), F.col("entry_id").alias("skill_id"))
+    skills = held.where("kind = 'skill'").select(F.col("id").alias("candidate_id"), F.col("entry_id").alias("skill_id"), F.lit("exact").alias("match_type"), "start", "end")
+    tiers = matching.requirement_tiers(required, skills, matching.related_pairs(table(spark, sf, "taxonomy_entries")))
+    best = matching.top_pairs(proposals.dimensions(wishes, "id"), people, matching.skill_scores(tiers, required), 3)
+    return best.select("job_id", "candidate_id", "score", "rank")
 
 
 @query

@@ -32,6 +32,18 @@ by_claim as (select c_custkey as candidate_id, cast(c_custkey % 20 as double) as
 years as (
   select coalesce(r.candidate_id, c.candidate_id) as candidate_id, range_years, claimed_years, {rounded("case when range_years > 0 then range_years else coalesce(claimed_years, 0) end", 1)} as years
   from by_range r full join by_claim c on r.candidate_id = c.candidate_id)"""
+RAWS = f"""with {SKILLS}, {YEARS}, wanted as (select job_id, count(*) as n from required group by 1),
+sub as (select t.job_id, candidate_id, {rounded("sum([1.0::double, 0.95, 0.7][t + 1]) / any_value(n)", 6)} as skills from tiers t join wanted w on t.job_id = w.job_id group by 1, 2),
+pairs as (
+  select s_suppkey as job_id, c_custkey as candidate_id, coalesce(skills, 0) as skills, coalesce(years, 0) as years, 3 + s_suppkey % 5 as min_years, s_suppkey % 7 <> 0 as has_degree, s_suppkey % 4 + 1 as degree,
+    case when c_custkey % 6 < 5 then c_custkey % 6 end as have
+  from supplier cross join customer left join years y on y.candidate_id = c_custkey left join sub on sub.job_id = s_suppkey and sub.candidate_id = c_custkey),
+parts as (
+  select *, {rounded("least(1.0, years / min_years)", 6)} as y, {rounded("least(1.0, (case when years >= 12 then 4 when years >= 8 then 3 when years >= 5 then 2 when years >= 2 then 1 else 0 end) / 2)", 6)} as l,
+    {rounded("case when have is null then 0.0 else least(1.0, have / degree) end", 6)} as d, case when has_degree then 0.4::double + 0.3 + 0.1 + 0.2 else 0.4::double + 0.3 + 0.1 end as w from pairs),
+contributions as (
+  select job_id, candidate_id, {rounded("(0.4::double / w) * skills", 6)} as a, {rounded("(0.3::double / w) * y", 6)} as b, {rounded("(0.1::double / w) * l", 6)} as c, case when has_degree then {rounded("(0.2::double / w) * d", 6)} else 0 end as e from parts),
+raws as (select job_id, candidate_id, least(1.0, {rounded("a + b + c + e", 6)}) as raw from contributions)"""
 HOST = "regexp_replace(regexp_replace(lower(source_url), '^[a-z]+://', ''), '[?#].*$', '')"
 BLANK = r"regexp_replace(regexp_replace(l, '^[\s\x{00A0}\x{FEFF}]+', ''), '[\s\x{00A0}\x{FEFF}]+$', '')"
 
@@ -115,20 +127,23 @@ with {SKILLS}, wanted as (select job_id, count(distinct skill_id) as n from requ
 met as (select r.job_id, s.candidate_id, count(distinct r.skill_id) as met from required r join skills s on r.skill_id = s.skill_id group by 1, 2)
 select m.job_id, candidate_id, met, met / n as fraction from met m join wanted w on m.job_id = w.job_id""",
     "score_top_pairs": f"""
-with {SKILLS}, {YEARS}, wanted as (select job_id, count(*) as n from required group by 1),
-sub as (select t.job_id, candidate_id, {rounded("sum([1.0::double, 0.95, 0.7][t + 1]) / any_value(n)", 6)} as skills from tiers t join wanted w on t.job_id = w.job_id group by 1, 2),
-pairs as (
-  select s_suppkey as job_id, c_custkey as candidate_id, coalesce(skills, 0) as skills, coalesce(years, 0) as years, 3 + s_suppkey % 5 as min_years, s_suppkey % 7 <> 0 as has_degree, s_suppkey % 4 + 1 as degree,
-    case when c_custkey % 6 < 5 then c_custkey % 6 end as have
-  from supplier cross join customer left join years y on y.candidate_id = c_custkey left join sub on sub.job_id = s_suppkey and sub.candidate_id = c_custkey),
-parts as (
-  select *, {rounded("least(1.0, years / min_years)", 6)} as y, {rounded("least(1.0, (case when years >= 12 then 4 when years >= 8 then 3 when years >= 5 then 2 when years >= 2 then 1 else 0 end) / 2)", 6)} as l,
-    {rounded("case when have is null then 0.0 else least(1.0, have / degree) end", 6)} as d, case when has_degree then 0.4::double + 0.3 + 0.1 + 0.2 else 0.4::double + 0.3 + 0.1 end as w from pairs),
-contributions as (
-  select job_id, candidate_id, {rounded("(0.4::double / w) * skills", 6)} as a, {rounded("(0.3::double / w) * y", 6)} as b, {rounded("(0.1::double / w) * l", 6)} as c, case when has_degree then {rounded("(0.2::double / w) * d", 6)} else 0 end as e from parts),
-raws as (select job_id, candidate_id, least(1.0, {rounded("a + b + c + e", 6)}) as raw from contributions)
+{RAWS}
 select job_id, candidate_id, cast({rounded("raw * 100", 0)} as bigint) as score, rank
 from (select *, row_number() over (partition by job_id order by raw desc, candidate_id) as rank from raws) where rank <= 5""",
+    "score_jobs_of_candidates": f"""
+{RAWS}
+select job_id, candidate_id, cast({rounded("raw * 100", 0)} as bigint) as score, rank
+from (select *, row_number() over (partition by candidate_id order by raw desc, job_id) as rank from raws where candidate_id % 100 = 0) where rank <= 3""",
+    "rank_by_score_alone": f"with {MATCHES} select job_id, candidate_id, rank from (select *, row_number() over (partition by job_id order by score desc, candidate_id) as rank from matches where score is not null) where rank <= 5",
+    "education_parts": f"""
+with d as (select c_custkey, case when c_custkey % 6 < 5 then least(1.0, (c_custkey % 6) / (c_custkey % 4 + 1)) else 0.0 end as degree, case when c_custkey % 7 <> 0 then (c_custkey % 3) / 2 end as held from customer)
+select c_custkey, {rounded("case when held is null then degree else (degree + held) / 2 end", 6)} as part from d""",
+    "proposed_requirements": f"""
+with {ENTRIES}, j as (select s_suppkey as job_id, entry_id from supplier join entries on n = s_suppkey * 13 % 102)
+select job_id, 'skill' as kind, entry_id, cast(null as double) as number from j
+union all select job_id, 'certificate', 'pmp', null from j
+union all select job_id, 'degree', 'bachelor', 2.0 from j
+union all select job_id, 'years', null, cast(job_id % 9 + 3 as double) from j""",
     "nearest_vectors": f"""
 with s as (select a.vec_id as left_key, b.vec_id as right_key, list_cosine_similarity(a.embedding::double[], b.embedding::double[]) as s from embeddings a join embeddings b on a.vec_id <> b.vec_id where a.vec_id % 20 = 0)
 select left_key, arg_max(right_key, struct_pack(s := s, k := -right_key)) as right_key, {rounded("max(s)", 4)} as similarity from s group by 1""",
