@@ -88,9 +88,10 @@ def sentences(text: str, all_lines: bool = False) -> list[tuple[int, int, str]]:
         part = text[at:end]
         if len(part) >= 2 * MIN_WORDS - 1 or (all_lines and part):
             ended = part.rstrip()[-1:] in ENDS
-            contact = not all_lines and (CONTACT.search(part) or not ended and SPELLED.search(part))
-            if ended and not all_lines:
-                part = SPELLED.sub("", part)
+            contact = not all_lines and CONTACT.search(part)
+            if not all_lines and ("[" in part or "(" in part):
+                contact = contact or not ended and SPELLED.search(part)
+                part = SPELLED.sub("", part) if ended else part
             words = len(LETTERS.findall(part))
             if words >= (1 if all_lines else MIN_WORDS - 1 if ended else MIN_WORDS + 2) and (all_lines or not contact and (ended or "@" not in part)) and (all_lines or len(part.split()) >= MIN_WORDS):
                 p = plain(part if part.isupper() else NAME.sub("", part))
