@@ -40,10 +40,3 @@ def written(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/table"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def written_by(df: DataFrame, column: str) -> DataFrame:
-    """df as a table written to the shared folder, partitioned by a column of few values: what is asked of one value reads only its files."""
-    path = f"{shared_dir(df.sparkSession)}/table"
-    df.write.partitionBy(column).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
