@@ -60,22 +60,26 @@ ADDRESS = re.compile(rf"(?<![\w.])(?:{STREET}){GAP}{TAIL}")
 EMAIL = re.compile(
     r"(?<![\w.+-])[A-Za-z0-9](?:[\w.+-]|\s?[\[(]dot[\])]\s?)*(?: ?@ ?|\s?[\[(]at[\])]\s?|\s?[\[{]@[\]}]\s?)[\w-]+(?:(?:\.|\s?[\[(]dot[\])]\s?)[\w-]+)+|(?<![\w.+-])[A-Za-z0-9][\w.+-]*(?: dot [\w+-]+)* at [\w-]+(?: dot [\w-]+)+", re.I
 )
+# Patterns that start with a set of letters are searched by that set, several times as fast as behind an assertion; what may not stand before is asked after the first letter.
 NUMBER = re.compile(
-    r"(?<![\w.,@+/-])(?:[A-Z]{2} \d\d ?\d\d ?\d\d ?[A-Z]\b|[A-Z]{1,6}-?\d[\d-]{3,}[A-Z]?\b|\+?\(?\d[\d().\-/ ]{3,}\d(?:-?[A-Z]\b)?)(?: ?(?:x|ext\.? ?|#)\d{1,5}\b)?"
+    r"[A-Z+(\d](?<![\w.,@+/-].)(?:(?<=[A-Z])(?:[A-Z] \d\d ?\d\d ?\d\d ?[A-Z]\b|[A-Z]{0,5}-?\d[\d-]{3,}[A-Z]?\b)|(?:(?<=\+)\(?\d|(?<=\()\d|(?<=\d))[\d().\-/ ]{3,}\d(?:-?[A-Z]\b)?)(?: ?(?:x|ext\.? ?|#)\d{1,5}\b)?"
 )
-NAME = re.compile(rf"(?<![\w'’.&-])(?:(?:(?:{WORD}|{U}\.)(?: (?:(?:de|da|van|von|der|den|del|di|la|le|ten|ter|dos|zu) )*(?:{WORD}|{U}\.))*? )?(?:{WORD}|{U}\.) {WORD})(?![\w'’])|(?m:^[ \t]*(?:{WORD}), (?:{WORD}|{U}\.)(?: (?:{WORD}|{U}\.))?(?=[ \t]*\r?$|,))")
+_LETTERS = rf"[\w'’]++(?:-{U}?[\w'’]++)*+"  # of a word behind its first; none are given back, as no name goes on with them
+_REST = rf"(?:{_LETTERS}|\.)"
+NAME = re.compile(rf"{U}(?<![\w'’.&-].)(?:{_REST}(?: (?:(?:de|da|van|von|der|den|del|di|la|le|ten|ter|dos|zu) )*{U}{_REST})*? {U}{_REST} {U}{_LETTERS}|{_REST} {U}{_LETTERS})(?![\w'’])")
+NAME_TURNED = re.compile(rf"[ \t]*{U}{_LETTERS}, {U}{_REST}(?: {U}{_REST})?(?=[ \t]*\r?$|,)", re.M)
 TITLE = re.compile(r"(?:(?:Mr|Ms|Mrs|Miss|Mx|Dr|Prof|Frau|Herr|Mme|Mlle|M|Sr|Sra|Srta|Dott|Sig|Ing|Dipl|Name|Nom|Contact|Curriculum)\.? )+")
 ODD = re.compile(r"[^\x00-\x9f\xa1-\xac\xae-\u024f\u0400-\u045f\u2012-\u2023\u2026\u2116\u2122\u2600-\u26ff]")
 OTHER = re.compile(r"[\u0370-\u04ff]")
-MIXED = re.compile(r"(?<!\w)(?:\w*[a-zA-Zà-ÿ]\w*[\u0370-\u04ff]\w*|\w*[\u0370-\u04ff]\w*[a-zA-Zà-ÿ]\w*)")
+MIXED = re.compile(r"(?<!\w)(?=\w*[a-zA-Zà-ÿ])(?=\w*[\u0370-\u04ff])\w+")
 ALIKE = str.maketrans(CYRILLIC_ALIKE + GREEK_ALIKE, CYRILLIC_LATIN + GREEK_LATIN)
 SIGN = re.compile("@")
 BREAK = re.compile("\n")
 DIGIT = re.compile(r"\d")
 AT = re.compile(r"@|[\[({](?:at|@)[\])}]| at (?=[\w-]+ dot )", re.I)
 STREETS = re.compile(
-    rf"\b{STREET_EN}(?!\w)|\b(?:Box|Postfach|Apartado|postale|Postbus) \d|(?:\d| bis| ter| quater),? (?:rue|avenue|boulevard|place|allée|chemin|impasse|quai|cours)\b|\b(?:Calle|Rua|Via|Avenida|Plaza|Praça|Viale|Piazza|Corso|Travessa|Paseo)\b|\bAv\.|C/|"
-    r"\w(?:weg|straße|strasse|str\.|allee|gasse|platz|ring|ufer|laan|straat|gracht|plein|kade) \d|\b(?:Am|Im|An der|An den|Auf der|Zum|Zur) (?=\w+ \d)|(?:ул\.|улица|пр\.|проспект|пер\.)"
+    rf"\b(?=[A-Zp])(?:{STREET_EN}(?!\w)|(?:Box|Postfach|Apartado|postale|Postbus) \d|(?:Calle|Rua|Via|Avenida|Plaza|Praça|Viale|Piazza|Corso|Travessa|Paseo)\b|Av\.|(?:Am|Im|An der|An den|Auf der|Zum|Zur) (?=\w+ \d))|"
+    r"(?:\d| bis| ter| quater),? (?:rue|avenue|boulevard|place|allée|chemin|impasse|quai|cours)\b|C/|\w(?:weg|str(?:aße|asse|\.|aat)|allee|g(?:asse|racht)|pl(?:atz|ein)|ring|ufer|laan|kade) \d|(?:ул\.|улица|пр\.|проспект|пер\.)"
 )
 HOUSE = re.compile(rf"\d(?:[A-Za-z]?(?: bis| ter| quater)?,? (?:{U}|rue |avenue |boulevard |place |allée |chemin |impasse |quai |cours )|(?<=[.,]\d)\d{{0,4}},|(?<=[.,] \d)\d{{0,4}},|(?<=/\d)|(?<=/ \d))")
 HOUSE_BEHIND = re.compile(r" (?<=[^\W\d_] )\d{1,5} ?[a-z]?(?=,|\r?$| [–-])")
@@ -122,6 +126,20 @@ def straight(text: str) -> tuple[str, np.ndarray | None]:
     return "".join(out), np.array(at)
 
 
+def _names(s: str, starts: list[int]) -> Iterator[tuple[int, int]]:
+    """Where names stand; surnames before a comma only at the start of a line, unless another form starts there."""
+    pos = 0
+    for a in starts:
+        turned = NAME_TURNED.match(s, a)
+        if turned and not NAME.match(s, a):
+            for m in NAME.finditer(s, pos, a):
+                yield m.span()
+            yield turned.span()
+            pos = turned.end()
+    for m in NAME.finditer(s, pos):
+        yield m.span()
+
+
 class Node:
     """A place that may hold something; kind decides its states."""
 
@@ -168,8 +186,8 @@ def nodes(text: str, weak: bool = False) -> tuple[list[Node], np.ndarray | None]
                         end = b
                     break
     end = 0
-    for k, line_start in enumerate(starts):
-        line = s[line_start : border(k + 1)]
+    for k, (line_start, line_end) in enumerate(zip(starts, starts[1:] + [len(s)])):
+        line = s[line_start:line_end]
         if DIGIT.search(line) and (HOUSE.search(line) or HOUSE_BEHIND.search(line)):
             for m in STREETS.finditer(line):
                 at_street = line_start + m.start()
@@ -193,8 +211,7 @@ def nodes(text: str, weak: bool = False) -> tuple[list[Node], np.ndarray | None]
         if free(a, b):
             taken.append((a, b))
             add("number", a, b)
-    for m in NAME.finditer(s):
-        a, b = m.span()
+    for a, b in _names(s, starts):
         while s[a] in " \t":
             a += 1
         if (t := TITLE.match(s, a)) and t.end() < b:
@@ -396,23 +413,27 @@ def label(model: Model, docs: list[list[Node]]) -> list[np.ndarray]:
     sums = np.add.reduceat(model.weights[every], np.concatenate([[0], np.cumsum(sizes)[:-1]]), axis=0) / np.sqrt(sizes)[:, None]
     states = np.array([(*KIND_LABELS[n.kind], -1)[:3] for n in flat])
     unary = np.where(states >= 0, np.take_along_axis(sums, np.maximum(states, 0), 1), -30).astype(np.float32)
-    left, right, tables = [], [], []
+    left, right, tables = [], [], []  # of edges that have a potential; others say nothing
     base = 0
-    nothing = np.zeros((3, 3), dtype=np.float32)
+    number = {k: i for i, k in enumerate((*model.chain, *model.skip))}
     for found in docs:
-        for i in range(len(found) - 1):
-            a, b = found[i], found[i + 1]
-            left.append(base + i)
-            right.append(base + i + 1)
-            tables.append(model.chain.get((a.kind, b.kind, b.line - a.line if b.line - a.line < 2 else 2), nothing))
+        for i, (a, b) in enumerate(zip(found, found[1:]), base):
+            apart = b.line - a.line
+            t = number.get((a.kind, b.kind, apart if apart < 2 else 2))
+            if t is not None:
+                left.append(i)
+                right.append(i + 1)
+                tables.append(t)
         for i, j in _skips(found):
-            left.append(base + i)
-            right.append(base + j)
-            tables.append(model.skip.get(found[i].kind, nothing))
+            t = number.get(found[i].kind)
+            if t is not None:
+                left.append(base + i)
+                right.append(base + j)
+                tables.append(t)
         base += len(found)
     belief = unary
     if left:
-        a, b, t = np.array(left), np.array(right), np.stack(tables)
+        a, b, t = np.array(left), np.array(right), np.stack([*model.chain.values(), *model.skip.values()])[tables]
         to_b, to_a = np.zeros((len(a), 3), dtype=np.float32), np.zeros((len(a), 3), dtype=np.float32)
         for _ in range(ROUNDS):
             new_b = _log_sum((belief[a] - to_a)[:, :, None] + t, 1)

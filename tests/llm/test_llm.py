@@ -1,5 +1,6 @@
 import random
 import re
+import time
 import unicodedata
 
 import numpy as np
@@ -73,6 +74,21 @@ def test_pii_frames(spark, model):
     assert pii.found_spans(d.limit(0), "id", "t").count() == 0
 
 
+def test_pii_names_and_numbers_by_first_letter():
+    s = "  Moss, Ada\nMoss, Ada, B. Cole-Hart\nJo Ann Pike-, x Ida van der Loo.A\nLee, J. P.\r\nd'Or Kim-'Li"
+    names = [s[a:b] for a, b in pii._names(s, [0] + [m.end() for m in re.finditer("\n", s)])]
+    assert names == ["  Moss, Ada", "Moss, Ada", "B. Cole-Hart", "Jo Ann Pike", "Lee, J. P."]
+    numbers = "a+44 20 7946 0000 x12, (020) 1234-567; AB-12345C QQ 12 34 56 C x1234567 .12345 @98765 +(0)123 45"
+    assert [m[0] for m in pii.NUMBER.finditer(numbers)] == ["20 7946 0000 x12", "(020) 1234-567", "AB-12345C", "QQ 12 34 56 C", "+(0)123 45"]
+
+
+def test_pii_long_words_take_no_square_time():
+    long = "a" * 60_000
+    start = time.process_time()
+    assert pii.straight(f"ж {long}") == (f"ж {long}", None)
+    assert time.process_time() - start < 2
+
+
 # --- 2 ----------------------------------------------------------------------------------------------------------------
 
 
